@@ -39,6 +39,15 @@ def fold(text: str) -> list[str]:
     return [p for w in _WORD.findall(text) for p in _HAN.findall(w)]
 
 
+def stem(word: str) -> str:
+    """A word without the endings of number and gender."""
+    if not word.isascii():
+        return word
+    short = word.rstrip("esx")
+    short = short if len(short) >= ONE_FROM else word
+    return short[:-1] if len(short) > ONE_FROM and short[-1] == short[-2] else short
+
+
 def changes(a: str, b: str, most: int) -> int:
     """Insertions, deletions, replacements and swaps of neighbours that turn a into b; most + 1 if more."""
     if abs(len(a) - len(b)) > most:
@@ -96,6 +105,7 @@ class Resolver:
         weak = {"".join(fold(x)) for x in only_in_context}
         owners: dict[str, set[str]] = defaultdict(set)
         self.sets: dict[frozenset[str], set[str]] = defaultdict(set)
+        self.surface: dict[str, str] = {}
         orders: dict[str, set[str]] = defaultdict(set)
         for entity, name in names:
             words = fold(name)
@@ -106,7 +116,8 @@ class Resolver:
             if len(words) > 1:
                 orders[packed].add(entity)
                 orders["".join(reversed(words))].add(entity)
-                self.sets[frozenset(words)].add(entity)
+                self.sets[frozenset(map(stem, words))].add(entity)
+                self.surface.update((w, stem(w)) for w in words)
         self.owners, self.orders = dict(owners), dict(orders)
         self.by_word: dict[str, list[frozenset[str]]] = defaultdict(list)
         for s in self.sets:
@@ -117,7 +128,7 @@ class Resolver:
             self.automaton.add_word(packed, packed)
         if owners:
             self.automaton.make_automaton()
-        self.near, self.packed = Nearest(self.by_word), Nearest(orders)
+        self.near, self.packed = Nearest(self.surface), Nearest(orders)
         self.resolve = lru_cache(1 << 16)(self._resolve)
 
     def _resolve(self, words: tuple[str, ...]) -> str:
@@ -142,10 +153,10 @@ class Resolver:
     def _by_tokens(self, words: tuple[str, ...]) -> str:
         readings: list[list[tuple[int, str]]] = []
         for i, w in enumerate(words):
-            d, near = self.near(w)
-            found = [(d, x) for x in near]
+            d, near = (0, {w}) if stem(w) in self.by_word else self.near(w)
+            found = [(d, stem(x)) for x in near]
             if d and CUT_FROM <= len(w) and (i == len(words) - 1 or not near):
-                found += [(1, x) for x in self.by_word if len(x) > len(w) and x.startswith(w)]
+                found += [(1, y) for x, y in self.surface.items() if len(x) > len(w) and x.startswith(w)]
             readings.append(found)
         score: dict[str, int] = {}
         at_word: dict[str, tuple[int, int]] = {}

@@ -29,6 +29,8 @@ COORDINATES, RUNS, FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 128, 8, 3, 3, 12
 SMALL = 192
 #: Sketch bits in which a pair may differ; at similarity 0.6, 128 bits differ in 25.6 on average with deviation 4.5.
 SKETCH_BITS, MOST_DIFFERENT = 128, 38
+#: Bits of a path's hash: shuffled rows compress better, while strangers hardly ever share a path.
+PATH_BITS = 44
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +90,7 @@ def descend(sig: np.ndarray, owner: np.ndarray, path: np.ndarray, levels: int, s
             h ^= h >> np.uint64(32)
             node, c = np.nonzero(h < below)
             owners.append(o[node])
-            paths.append(mix((p[node] ^ seeds[c]) * _MULT + sig[o[node], c]))
+            paths.append(mix((p[node] ^ seeds[c]) * _MULT + sig[o[node], c]) >> np.uint64(64 - PATH_BITS))
         owner, path = (np.concatenate(owners), np.concatenate(paths)) if owners else (owner[:0], path[:0])
     return owner, path
 
@@ -159,11 +161,16 @@ def _close(rows: DataFrame, prints: DataFrame) -> DataFrame:
     return a.join(b, "path").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of different skeletons that met in a bucket of the chosen-path recursion."""
-    unique = prints.dropDuplicates(["code"])
-    sketch = prints.select("code", "s1", "s2").dropDuplicates(["code"])
-    buckets, levels, pairs = _buckets(_walk(unique.select("code", "skeleton"), FIRST_LEVELS)), FIRST_LEVELS, None
+def unique_texts(prints: DataFrame) -> DataFrame:
+    """Stage table uid, code, s1, s2, skeleton: one row per skeleton, with a short number that is shuffled in its stead."""
+    return stage(prints.select("code", "s1", "s2", "skeleton").dropDuplicates(["code"]).withColumn("uid", F.monotonically_increasing_id()), "unique")
+
+
+def candidate_pairs(unique: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of uids that met in a bucket of the chosen-path recursion."""
+    sketch = unique.select(F.col("uid").alias("code"), "s1", "s2")
+    texts = unique.select(F.col("uid").alias("code"), "skeleton")
+    buckets, levels, pairs = _buckets(_walk(texts, FIRST_LEVELS)), FIRST_LEVELS, None
     while True:
         large = buckets.where(F.col("n") > SMALL)
         last = levels >= MOST_LEVELS or large.isEmpty()
@@ -172,15 +179,15 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
         if last:
             return pairs.distinct()
         reached = large.groupBy("code").agg(F.collect_list("path").alias("paths"))
-        buckets = _buckets(_walk(unique.join(reached, "code").select("code", "skeleton", "paths"), MORE_LEVELS))
+        buckets = _buckets(_walk(texts.join(reached, "code").select("code", "skeleton", "paths"), MORE_LEVELS))
         levels += MORE_LEVELS
 
 
-def similar_pairs(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity of the candidate pairs that an exact count of shared sequences confirms."""
-    pairs = stage(candidate_pairs(prints), "candidates")
-    wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    texts = prints.select("code", "skeleton").join(wanted, "code", "left_semi").dropDuplicates(["code"])
+def similar_pairs(unique: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b (uids), similarity of the candidate pairs that an exact count of shared sequences confirms."""
+    pairs = stage(candidate_pairs(unique), "candidates")
+    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    texts = unique.select("uid", "skeleton").join(wanted, "uid", "left_semi")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def make():
@@ -210,7 +217,9 @@ def near_duplicate_pairs(texts: DataFrame, key: str, column: str) -> DataFrame:
     """
     prints = fingerprints(texts, key, column)
     members = prints.select("id", "code").distinct()
-    similar = similar_pairs(prints).select("a", "b")
+    unique = unique_texts(prints)
+    codes = unique.select("uid", "code")
+    similar = similar_pairs(unique).select("a", "b").join(codes.toDF("a", "code_a"), "a").join(codes.toDF("b", "code_b"), "b").select(F.col("code_a").alias("a"), F.col("code_b").alias("b"))
     across = similar.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     copied = members.groupBy("code").count().where("count > 1").select("code")
     copies = members.join(copied, "code", "left_semi")
@@ -221,6 +230,7 @@ def near_duplicate_pairs(texts: DataFrame, key: str, column: str) -> DataFrame:
 def near_duplicate_classes(texts: DataFrame, key: str, column: str) -> DataFrame:
     """id, code (the class of equal skeletons) and links: how many other classes are similar to it."""
     prints = fingerprints(texts, key, column)
-    similar = stage(similar_pairs(prints), "similar")
-    links = similar.select(F.col("a").alias("code")).unionByName(similar.select(F.col("b").alias("code"))).groupBy("code").agg(F.count("*").alias("links"))
+    unique = unique_texts(prints)
+    similar = stage(similar_pairs(unique), "similar")
+    links = similar.select(F.col("a").alias("uid")).unionByName(similar.select(F.col("b").alias("uid"))).groupBy("uid").agg(F.count("*").alias("links")).join(unique.select("uid", "code"), "uid").drop("uid")
     return prints.select("id", "code").distinct().join(links, "code", "left").select("id", F.col("code").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))

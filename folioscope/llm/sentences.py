@@ -239,27 +239,29 @@ _LISTS = ("end", "kind", "mark", "left", "left_shape", "right", "right_shape", "
 _SCHEMA = "id string, " + ", ".join(f"`{c}` array<int>" for c in _LISTS)
 
 
-def gap_table(texts: DataFrame, key: str, column: str, language: str) -> DataFrame:
-    """Stage table of one row per text with the lists of its gaps' features."""
+def gap_table(texts: DataFrame, key: str, column: str, language: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Stage table of one row per text with the lists of its gaps' features, and string columns to carry along."""
 
     def make():
         def step(b: pa.RecordBatch):
             ids, rows = [], []
-            for i, t, lang in zip(*(c.to_pylist() for c in b.columns)):
+            for n, (i, t, lang) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
                 if i is None or not t:
                     continue
                 han = lang == "zh" if lang in ("fr", "zh") else sum("㐀" <= c <= "鿿" for c in t) * 4 > len(t)
                 g, begins, continues = gaps_of(t, han)
                 if g.end:
-                    ids.append(i)
+                    ids.append(n)
                     rows.append((g.end, g.kind, g.mark, g.left, g.left_shape, g.right, g.right_shape, begins, continues))
             if not ids:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(pa.array(c, pa.list_(pa.int32())) for c in zip(*rows))], ["id", *_LISTS])
+            kept = [b.column(k).take(pa.array(ids)) for k in (0, *range(3, 3 + len(carry)))]
+            return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.list_(pa.int32())) for c in zip(*rows))], ["id", *carry, *_LISTS])
 
         return step
 
-    return stage(map_batches(texts.select(F.col(key).cast("string"), column, language), _SCHEMA, make), "gaps")
+    schema = _SCHEMA.replace("id string", ", ".join(f"`{c}` string" for c in ("id", *carry)), 1)
+    return stage(map_batches(texts.select(F.col(key).cast("string"), column, language, *carry), schema, make), "gaps")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:

@@ -7,13 +7,17 @@ gives way to the frequent one of its group that its neighbours support. All of i
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.stages import stage
+from folioscope.llm.arrow import map_batches
 
 # Glyphs that scanners confuse, brought to one; then letters that look like two others.
 GLYPHS = ("01!|l59c6fyb", "oiiiisgeétvh")
@@ -27,9 +31,7 @@ SHORT = 0.6
 #: Passages in which a masked line must recur to count as repeated.
 RECUR = 3
 _WIDE = ("０１２３４５６７８９", "0123456789")
-_SP = "[ \\t\u00a0\u2000-\u200a\u202f\u3000]"
 _NUM = "[0-9OolI|]{1,4}"
-_END = "[.!?。！？…][»”’」』）)\\]】\u00a0 ]*$"
 _WORD = "[\\p{IsLatin}\\p{M}0-9!|]*\\p{IsLatin}[\\p{IsLatin}\\p{M}0-9!|]*"
 
 
@@ -38,44 +40,82 @@ def skeleton(word: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), STROKES, F.translate(F.lower(word), *GLYPHS))
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^(?:{_SP}|[\u200b-\u200d\u2060\ufeff\r])+|(?:{_SP}|[\u200b-\u200d\u2060\ufeff\r])+$", "")
+_BLANKS = " \t\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u3000\u200b\u200c\u200d\u2060\ufeff"
+_DIGITS = str.maketrans(*_WIDE)
+_S = "[ \t\u00a0\u2000-\u200a\u202f\u3000]"
+_ENDED = re.compile("[.!?。！？…][»”’」』）)\\]】\u00a0 ]*$")
+_NUMBER = re.compile(f"[^\\w]*(?:[pP]{_S}*\\.|[pP]ages?|第)?{_S}*{_NUM}{_S}*页?[^\\w]*")
+_DIGITAL = re.compile("[0-9]|^[\\W_]*[lIO]{1,4}[\\W_]*$")
+_PROSE_NUMBER = re.compile(f"^[0-9OlI]+{_S}*[!?！？…。]")
+_POINTED = re.compile("^[0-9OlI]+[.]$")
+_NUMBERED = re.compile(f"^{_NUM}(?:{_S}{{2,}}|\u3000)[^\\W\\d_].*[^.!?]$|[^\\W\\d_](?:{_S}{{2,}}|\u3000){_NUM}$")
+_UP = "A-ZÀ-ÖØ-Þ"
+_TITLED = re.compile(f"^[{_UP}][{_UP}l0]{{3,}}{_S}+[IVXLCl]+{_S}*[—–-]|^[^\\W\\d_]\\w*!?\\w*{_S}+[IVXLCl]+{_S}*[·•]|^第[0-9]+[讲章课回]\u3000")
+_OPEN_END = re.compile(f"[{HYPHENS},;:，；：、]$")
+_MASKED = re.compile("[0-9]+|(?<![^\\W\\d_])[IVXLC]+(?![^\\W\\d_])")
+_MASK_GLYPHS = str.maketrans("0O1IL!5S", "OOIIIISS")
+#: What a line looks like by itself, as bits.
+ENDED, CUT, NUMBER, PROSE_NUMBER, POINTED, CAPITALS, NUMBERED, TITLED, BARE, COMMA, CAPITAL, LOWER = (1 << k for k in range(12))
+
+
+def looks(line: str) -> int:
+    """Bits of a trimmed line's shape."""
+    letters = sum(map(str.isalpha, line))
+    upper = sum(map(str.isupper, line))
+    ended = _ENDED.search(line) is not None
+    bits = ENDED * ended
+    bits |= CUT * (line[-1] in "-‐‑¬\u00ad") | BARE * (not ended and not _OPEN_END.search(line)) | COMMA * any(c in line for c in ",，;；")
+    if letters < 12 and _NUMBER.fullmatch(line) and _DIGITAL.search(line):
+        bits |= NUMBER
+    bits |= PROSE_NUMBER * (_PROSE_NUMBER.match(line) is not None) | POINTED * (_POINTED.match(line) is not None)
+    bits |= CAPITALS * (letters >= 4 and upper >= letters * 0.7)
+    bits |= NUMBERED * (_NUMBERED.search(line) is not None) | TITLED * (_TITLED.match(line) is not None)
+    first = line[0]
+    return bits | CAPITAL * (first.isupper() or first.isdigit() or "㐀" <= first <= "鿿") | LOWER * first.islower()
 
 
 def lines_of(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """id, line_no (from 1), lines, line (trimmed, digits of one width), widest of every line that is not blank."""
-    one = texts.where(F.col(key).isNotNull() & (F.length(column) > 0)).groupBy(F.col(key).cast("string").alias("id")).agg(F.min(column).alias("text"))
-    cut = F.split(F.translate("text", *_WIDE), "\n")
-    widest = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(_trim(x))))
-    out = one.select("id", widest.alias("widest"), F.posexplode(cut).alias("pos", "line")).select("id", (F.col("pos") + 1).alias("line_no"), _trim(F.col("line")).alias("line"), "widest")
-    return out.where("line <> ''")
+    """Stage table id, line_no (from 1), line (trimmed, digits of one width), widest, looks, mask of every line that is not blank."""
+    one = texts.where(F.col(key).isNotNull() & (F.length(column) > 0)).select(F.col(key).cast("string").alias("id"), F.col(column).alias("text")).dropDuplicates(["id"])
+
+    def make():
+        def step(b: pa.RecordBatch):
+            out: list[tuple] = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lines = [x.translate(_DIGITS).strip(_BLANKS) for x in t.split("\n")]
+                widest = max(map(len, lines))
+                for k, x in enumerate(lines, 1):
+                    if x:
+                        out.append((i, k, x, widest, looks(x), " ".join(_MASKED.sub("#", x.upper()).split()).translate(_MASK_GLYPHS)))
+            if not out:
+                return None
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "line_no", "line", "widest", "looks", "mask"])
+
+        return step
+
+    return stage(map_batches(one, "id string, line_no int, line string, widest int, looks int, mask string", make), "pages")
+
+
+def _has(bit: int, c: str = "looks") -> Column:
+    return F.col(c).bitwiseAND(bit) != 0
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Adds kind: 'header', 'page_no' or null for running text."""
-    upper, letters = F.regexp_count("line", F.lit("\\p{Lu}")), F.regexp_count("line", F.lit("\\p{L}"))
-    masked = F.regexp_replace(F.regexp_replace(F.upper("line"), "[0-9]+|(?<![\\p{L}])[IVXLC]+(?![\\p{L}])", "#"), "[\\s\u3000]+", " ")
-    lines = lines.withColumn("mask", F.translate(masked, "0O1IL!5S", "OOIIIISS"))
+    """id, line_no, line, kind: 'header', 'page_no' or null for running text."""
     recurring = lines.groupBy("mask").agg(F.count("*").alias("recur"), F.min("id").alias("lo"), F.max("id").alias("hi")).where(f"recur >= {RECUR} and lo <> hi").select("mask", "recur")
     page = Window.partitionBy("id").orderBy("line_no")
-    ends = F.col("line").rlike(_END)
-    lines = lines.join(recurring, "mask", "left").withColumns(
-        {"ended": F.coalesce(F.lag(ends).over(page), F.lit(True)), "cut": F.coalesce(F.lag(F.col("line").rlike(f"[{HYPHENS}]$")).over(page), F.lit(False)), "begins": F.lag("line").over(page).isNull(), "closes": F.lead("line").over(page).isNull(), "after": F.lead("line").over(page)}
-    )
+    full = F.max(F.when((F.length("line") >= F.col("widest") * 0.75) & ~_has(CAPITALS), F.col("line_no"))).over(Window.partitionBy("id"))
+    near = lines.withColumns({"before": F.lag("looks").over(page), "after": F.lead("looks").over(page), "last_full": full}).join(recurring, "mask", "left")
+    ended, cut = F.col("before").isNull() | _has(ENDED, "before"), F.coalesce(_has(CUT, "before"), F.lit(False))
+    begins, closes = F.col("before").isNull(), F.col("after").isNull()
     short = F.length("line") < F.col("widest") * SHORT
-    number = F.col("line").rlike(f"^[^\\p{{L}}0-9]*(?:[pP]{_SP}*\\.|[pP]ages?|第)?{_SP}*{_NUM}{_SP}*页?[^\\p{{L}}0-9]*$") & F.col("line").rlike("[0-9]|^[^\\p{L}]*[lIO]{1,4}[^\\p{L}]*$")
-    last_full = F.max(F.when((F.length("line") >= F.col("widest") * 0.75) & ~F.col("line").rlike("^[\\p{Lu}\\P{L}]+$"), F.col("line_no"))).over(Window.partitionBy("id"))
-    lines = lines.withColumn("last_full", last_full)
     # A number that ends the last sentence of a page is no page number.
-    prose_end = F.col("line").rlike(f"^[0-9OlI]+{_SP}*[!?！？…。]") | ~F.col("ended") & ~F.col("cut") & (F.col("line_no") > F.col("last_full")) & F.col("line").rlike("^[0-9OlI]+[.]$")
-    capitals = (letters >= 4) & (upper >= letters * 0.7)
-    numbered = F.col("line").rlike(f"^{_NUM}(?:{_SP}{{2,}}|\u3000)\\p{{L}}.*[^.!?]$|\\p{{L}}(?:{_SP}{{2,}}|\u3000){_NUM}$")
-    titled = F.col("line").rlike(f"^\\p{{Lu}}[\\p{{Lu}}l0]{{3,}}{_SP}+[IVXLCl]+{_SP}*[—–-]|^\\p{{L}}[\\p{{L}}0-9!]*{_SP}+[IVXLCl]+{_SP}*[·•]|^第[0-9]+[讲章课回]\u3000")
-    bare = ~ends & ~F.col("line").rlike(f"[{HYPHENS},;:，；：、]$")
-    alone = short & bare & ~F.col("closes") | short & bare & F.col("closes") & F.col("ended")
-    again = F.col("recur").isNotNull() & bare & F.col("line").rlike("^[\\p{Lu}\\p{IsHan}0-9]") & (F.col("begins") | F.col("closes") & F.col("ended") | ~F.col("ended") & F.col("after").rlike("^\\p{Ll}")) & (F.length("line") < F.col("widest") * 0.95) & ~F.col("line").rlike("[,，;；]")
-    kind = F.when(number & ~prose_end, "page_no").when(capitals | numbered & bare | titled | alone | again, "header")
-    return lines.withColumn("kind", kind).select("id", "line_no", "line", "kind")
+    prose_end = _has(PROSE_NUMBER) | ~ended & ~cut & (F.col("line_no") > F.col("last_full")) & _has(POINTED)
+    alone = short & _has(BARE) & (~closes | ended)
+    again = F.col("recur").isNotNull() & _has(BARE) & _has(CAPITAL) & ~_has(COMMA) & (F.length("line") < F.col("widest") * 0.95) & (begins | closes & ended | ~ended & F.coalesce(_has(LOWER, "after"), F.lit(False)))
+    kind = F.when(_has(NUMBER) & ~prose_end, "page_no").when(_has(CAPITALS) | _has(NUMBERED) & _has(BARE) | _has(TITLED) | alone | again, "header")
+    return near.withColumn("kind", kind).select("id", "line_no", "line", "kind")
 
 
 def _clean(c: Column) -> Column:
@@ -87,11 +127,53 @@ def _runs(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
 
 
+_LAT = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PY_WORD = re.compile(f"[0-9!|]*[{_LAT}][{_LAT}\u0300-\u036f0-9!|]*")
+_COMPOUND = re.compile(f"(?<![{_LAT}])(?=([{_LAT}]+-[{_LAT}]+))")
+_POINTS = re.compile("[^\\W_]+(?:\\.[^\\W_]+)+")
+_INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff]")
+#: Distinct entries that a task counts before it passes them on.
+FLUSH = 400_000
+
+
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """Stage table form (lower case, hyphens kept inside compounds), n, cased (its most frequent spelling)."""
-    words = texts.select(F.explode(F.concat(_runs(_clean(F.col(column)), _WORD), F.regexp_extract_all(F.lower(_clean(F.col(column))), F.lit("(?<!\\p{IsLatin})(?=(\\p{IsLatin}+-\\p{IsLatin}+))"), F.lit(1)))).alias("w"))
-    spelt = words.groupBy("w").agg(F.count("*").alias("n"))
-    return stage(spelt.groupBy(F.lower("w").alias("form")).agg(F.sum("n").alias("n"), F.max_by("w", F.struct("n", "w")).alias("cased")), "words")
+    """Stage table kind ('word', 'pair'), w, n: spellings of words and compounds, and neighbours in lower case."""
+
+    def count(batches):
+        words: Counter = Counter()
+        pairs: Counter = Counter()
+
+        def out():
+            rows = [("word", w, n) for w, n in words.items()] + [("pair", f"{a} {b}", n) for (a, b), n in pairs.items()]
+            words.clear()
+            pairs.clear()
+            for k in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 50_000])], ["kind", "w", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    if not t.isascii():
+                        t = _INVISIBLE.sub("", t)
+                    t = _POINTS.sub(" . ", t)
+                    found = _PY_WORD.findall(t)
+                    words.update(found)
+                    low = " ".join(found).lower().split(" ")
+                    pairs.update(zip(low, low[1:]))
+                    if "-" in t:
+                        words.update(_COMPOUND.findall(t.lower()))
+            if len(words) + len(pairs) > FLUSH:
+                yield from out()
+        if words:
+            yield from out()
+
+    counted = texts.select(column).mapInArrow(count, "kind string, w string, n long")
+    return stage(counted.groupBy("kind", "w").agg(F.sum("n").alias("n")), "words")
+
+
+def spellings(counts: DataFrame) -> DataFrame:
+    """form (lower case, hyphens kept inside compounds), n, cased (its most frequent spelling)."""
+    return counts.where("kind = 'word'").groupBy(F.lower("w").alias("form")).agg(F.sum("n").alias("n"), F.max_by("w", F.struct("n", "w")).alias("cased"))
 
 
 def frequent_forms(words: DataFrame) -> DataFrame:
@@ -120,7 +202,7 @@ def cut_words(running: DataFrame, words: DataFrame, forms: DataFrame) -> DataFra
     return cut.select("id", "line_no", "left", "rest", fixed.alias("fixed"), own.alias("own"))
 
 
-def misread_words(running: DataFrame, cuts: DataFrame, words: DataFrame, forms: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+def misread_words(running: DataFrame, cuts: DataFrame, words: DataFrame, forms: DataFrame, counts: DataFrame) -> DataFrame:
     """id, line_no, word, fixed of words with misread characters, outside cut words."""
     page = Window.partitionBy("id").orderBy("line_no")
     lines = running.join(cuts.select("id", "line_no", F.lit(True).alias("cut")), ["id", "line_no"], "left").withColumn("cut_before", F.lag("cut").over(page))
@@ -132,9 +214,8 @@ def misread_words(running: DataFrame, cuts: DataFrame, words: DataFrame, forms:
     rare = words.where(~F.col("form").contains("-") & ((F.length("form") > 2) | noisy & (F.length("form") > 1))).withColumn("skeleton", skeleton(F.col("form"))).join(forms, "skeleton")
     rare = rare.where((F.col("form") != F.col("right")) & ~F.col("form").rlike("^[0-9]+[eèé]?r?$|^\\p{L}[0-9]+$") & (noisy | (F.col("right_n") >= OFTEN) & (F.col("right_n") >= TIMES * F.col("n"))))
     found = tokens.join(rare.select("form", "n", "right", "right_n", "right_cased"), F.lower("word") == F.col("form"))
-    pairs = texts.select(_runs(F.lower(_clean(F.col(column))), _WORD).alias("ws")).select(F.explode(F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).alias("pair"))
     wanted = found.select(F.explode(F.array(F.concat_ws(" ", "before", "right"), F.concat_ws(" ", "right", "after"))).alias("pair")).distinct()
-    counted = pairs.groupBy("pair").agg(F.count("*").alias("m")).join(wanted, "pair", "left_semi")
+    counted = counts.where("kind = 'pair'").select(F.col("w").alias("pair"), F.col("n").alias("m")).join(wanted, "pair", "left_semi")
     found = found.withColumns({"p1": F.concat_ws(" ", "before", "right"), "p2": F.concat_ws(" ", "right", "after")}).join(counted.toDF("p1", "m1"), "p1", "left").join(counted.toDF("p2", "m2"), "p2", "left")
     supported = F.col("word").rlike("[0-9!|]") | F.col("m1").isNotNull() | F.col("m2").isNotNull() | (F.col("right_n") >= 10 * TIMES * F.col("n"))
     return found.where(supported).select("id", "line_no", "word", _recase(F.col("word"), F.col("right"), F.col("right_cased")).alias("fixed"))
@@ -144,10 +225,11 @@ def repair(pages: DataFrame, texts: DataFrame, key: str = "id", column: str = "r
     """Classified lines, cut words and misread words of pages; texts (the pages among them) give the word statistics."""
     lines = stage(classify(lines_of(pages, key, column)), "lines")
     running = lines.where("kind is null").select("id", "line_no", "line")
-    words = word_counts(texts, column)
+    counts = word_counts(texts, column)
+    words = stage(spellings(counts), "spellings")
     forms = frequent_forms(words)
     cuts = stage(cut_words(running, words, forms), "cuts")
-    return lines, cuts, misread_words(running, cuts, words, forms, texts, column)
+    return lines, cuts, misread_words(running, cuts, words, forms, counts)
 
 
 def noise_places(pages: DataFrame, texts: DataFrame, key: str = "id", column: str = "raw_text") -> DataFrame:

@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ _TRAIL = re.compile(rf"(?:\s|[{_INVIS}])+\Z")
 _INV = re.compile(f"[{_INVIS}]")
 _NEXT = re.compile(r"[一-鿿⺀-⿟]{1,2}|[^\W_]+|.", re.S)
 _LAST = re.compile(r"(?:([^\W_]+)[\W_]{0,4})?([^\W_]+)[\W_]*\Z")
-_CERTAIN = re.compile(r"[,;:，；：、]\s*")
+_CERTAIN = re.compile(r"[,;:，；：、]\s*([一-鿿⺀-⿟]{1,2}|[^\W_]+|.)(.{0,2})", re.S)
 _LOOK = {ord(a): b for a, b in CONFUSABLE.items()}
 #: Marks that may end a Chinese sentence; other marks of a Chinese text end none by themselves.
 _FULL = set("。！？!?｡")
@@ -52,10 +53,12 @@ def _plain(s: str) -> str:
     return s if s.isascii() else unicodedata.normalize("NFKC", _INV.sub("", s).translate(_LOOK))
 
 
+@lru_cache(1 << 16)
 def _slot(kind: str, word: str) -> int:
     return zlib.crc32((kind + word).encode("utf-8", "surrogatepass")) % WORDS
 
 
+@lru_cache(1 << 16)
 def _shape(w: str) -> int:
     """Script, case and length class of a word."""
     if not w:
@@ -97,6 +100,12 @@ def _right(line: str, at: int, zh: bool) -> tuple[str, int]:
     return ("#" if w[0].isdigit() else w), _shape(w)
 
 
+@lru_cache(1 << 16)
+def _continued(word: str, tail: str, zh: bool) -> int:
+    w, s = _right(word + tail, 0, zh)
+    return _slot("zr" if zh else "fr", w) * SHAPES + s
+
+
 @dataclass
 class Gaps:
     """Gaps of one text: their ends and features; a fixed gap (1) is a line end, an open one (0) a mark, 2 a blank."""
@@ -122,9 +131,7 @@ def gaps_of(text: str, zh: bool) -> tuple[Gaps, list[int], list[int]]:
             body = line[:stop]
             w, s = _right(body, 0, zh)
             begins.append(_slot(lang + "r", w) * SHAPES + s)
-            for m in _CERTAIN.finditer(body):
-                w, s = _right(body, m.end(), zh)
-                continues.append(_slot(lang + "r", w) * SHAPES + s)
+            continues += [_continued(w, tail if zh else "", zh) for w, tail in _CERTAIN.findall(body)]
             taken = 0
             for m in _GAP.finditer(body):
                 if m.end() >= stop:

@@ -114,9 +114,10 @@ def rewriter(classes: dict[str, str]) -> Callable[[str], str]:
     if classes:
         automaton.make_automaton()
     normal = unicodedata.normalize
+    plain = not any(map(str.isascii, classes))  # plain texts hold no member of a class
 
     def form(text: str) -> str:
-        if classes and not (text.isascii() and text.isprintable()):
+        if classes and not (plain and text.isascii()):
             out, at = [], 0
             for end, (n, to) in automaton.iter_long(text):
                 out += (text[at : end - n + 1], to)
@@ -185,20 +186,16 @@ def look_alike_pairs(texts: DataFrame, key: str, column: str, least: int = LEAST
         form = rewriter(classes)
 
         def step(b: pa.RecordBatch):
-            ids, raw = zip(*((i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and len(t) >= least and i is not None)) if b.num_rows else ((), ())
-            if not ids:
+            rows = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if i is not None and t and len(t) >= least]
+            if not rows:
                 return None
-            forms = [form(t) for t in raw]
+            forms = [form(t) for _, t in rows]
             keep = np.flatnonzero(count_alnum(forms) >= least)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in keep], pa.string()), pa.array([xxhash.xxh3_128_digest(forms[i].encode("utf-8", "surrogatepass")) for i in keep], pa.binary()), pa.array([xxhash.xxh3_64_intdigest(raw[i].encode("utf-8", "surrogatepass")) - (1 << 63) for i in keep], pa.int64())],
-                ["id", "form", "raw"],
-            )
+            prints = [xxhash.xxh3_128_digest(forms[k].encode("utf-8", "surrogatepass")) for k in keep]
+            raw = [xxhash.xxh3_64_intdigest(rows[k][1].encode("utf-8", "surrogatepass")) - (1 << 63) for k in keep]
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in keep], pa.string()), pa.array(prints, pa.binary()), pa.array(raw, pa.int64())], ["id", "form", "raw"])
 
-        def safe(b: pa.RecordBatch):
-            return step(b) if any(t and len(t) >= least for t in b.column(1).to_pylist()) else None
-
-        return safe
+        return step
 
     prints = map_batches(texts.select(F.col(key).cast("string").alias("id"), column), "id string, form binary, raw long", make)
     varied = prints.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("form")

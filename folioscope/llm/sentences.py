@@ -31,7 +31,9 @@ WORDS, SHAPES, MARKS, LENGTHS = 1 << 17, 64, 1 << 12, 8
 ROUNDS, BACK_OFF = 6, 2.0
 #: What follows a comma stands for a continued sentence by this weight at first and a quarter of it in each further
 #: round: clauses begin like sentences.
-COMMA_WEIGHT = 0.25
+COMMA_WEIGHT, LEAST_WEIGHT = 0.25, 0.02
+#: Largest overall log odds that a word's are compared with.
+MOST_ODDS = 1.0
 # Verbs that report what a closed quotation said.
 REPORTING = ("喊道", "说道", "问道", "答道", "写道", "叫道", "回答", "喊", "说", "问", "答", "道", "dit", "demand", "répond", "cri", "écri", "murmur", "not", "ajout", "lanc")
 _INVIS = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u034f\u061c\u180e"
@@ -41,7 +43,7 @@ _ZH_BLANK = re.compile(rf"(?:[{_INVIS}]*[^\S\n])+[{_INVIS}]*")
 _TRAIL = re.compile(rf"(?:\s|[{_INVIS}])+\Z")
 _INV = re.compile(f"[{_INVIS}]")
 _NEXT = re.compile(r"[一-鿿⺀-⿟]{1,2}|[^\W_]+|.", re.S)
-_LAST = re.compile(r"(?:([^\W_]+)[\W_]{0,4})?([^\W_]+)[\W_]*\Z")
+_WORDS = re.compile(r"[^\W_]+")
 _CERTAIN = re.compile(r"[,;:，；：、]\s*([一-鿿⺀-⿟]{1,2}|[^\W_]+|.)(.{0,2})", re.S)
 _LOOK = {ord(a): b for a, b in CONFUSABLE.items()}
 #: Marks that may end a Chinese sentence; other marks of a Chinese text end none by themselves.
@@ -74,19 +76,18 @@ def _shape(w: str) -> int:
     return 4 + (c in "«“‘「『（([《【") + 2 * (c in "—–-")
 
 
-def _left(line: str, at: int, zh: bool) -> tuple[str, int]:
-    part = _plain(line[max(0, at - 40) : at]).rstrip()
-    m = _LAST.search(part)
-    if not m:
+def _left(line: str, at: int) -> tuple[str, int]:
+    part = _plain(line[max(0, at - 30) : at])
+    words = list(_WORDS.finditer(part))
+    if not words:
         return "", 0
-    before, word = m[1] or "", m[2]
-    if "." in part[m.end(1) if m[1] else 0 : m.start(2)] or not before:
-        before = "."
+    word = words[-1][0]
     if "㐀" <= word[-1] <= "鿿":
         return word[-2:], 3
     if len(word) == 1 or word[-1].isdigit():  # initials and numbers mean what the word before them says
-        return f"{before.lower()}_{'#' if word[-1].isdigit() else word}", _shape(word[-1])
-    return word if word.isupper() and len(word) > 1 else word.lower(), _shape(word)
+        before = words[-2][0].lower() if len(words) > 1 and "." not in part[words[-2].end() : words[-1].start()] else "."
+        return f"{before}_{'#' if word[-1].isdigit() else word}", _shape(word[-1])
+    return word if len(word) > 1 and word.isupper() else word.lower(), _shape(word)
 
 
 def _right(line: str, at: int, zh: bool) -> tuple[str, int]:
@@ -106,23 +107,23 @@ def _continued(word: str, tail: str, zh: bool) -> int:
     return _slot("zr" if zh else "fr", w) * SHAPES + s
 
 
-@dataclass
-class Gaps:
-    """Gaps of one text: their ends and features; a fixed gap (1) is a line end, an open one (0) a mark, 2 a blank."""
+@lru_cache(1 << 14)
+def _mark(lang: str, marks: str, blank: bool) -> int:
+    return zlib.crc32(f"{lang}{marks}{'_' if blank else ''}".encode()) % MARKS
+
 
-    end: list[int]
-    kind: list[int]
-    mark: list[int]
-    left: list[int]
-    left_shape: list[int]
-    right: list[int]
-    right_shape: list[int]
+#: A gap: its end, kind, mark class, word and shape before, word and shape after. Kind 0 is an open gap after a mark, 2 one
+#: at a blank, 3 one that ends no sentence, 1 a line end and 4 a line end after a full mark.
+Gap = tuple[int, int, int, int, int, int, int]
 
 
-def gaps_of(text: str, zh: bool) -> tuple[Gaps, list[int], list[int]]:
+def gaps_of(text: str, zh: bool) -> tuple[list[Gap], list[int], list[int]]:
     """The gaps of a text, and (word slot * SHAPES + shape) of what certainly begins and certainly continues a sentence."""
-    g, begins, continues, at = Gaps([], [], [], [], [], [], []), [], [], 0
-    lang = "z" if zh else "f"
+    gaps: list[Gap] = []
+    begins: list[int] = []
+    continues: list[int] = []
+    at, lang = 0, "z" if zh else "f"
+    before, after = lang + "l", lang + "r"
     for line in text.split("\n"):
         stop = len(line)
         if t := _TRAIL.search(line):
@@ -130,40 +131,36 @@ def gaps_of(text: str, zh: bool) -> tuple[Gaps, list[int], list[int]]:
         if stop:
             body = line[:stop]
             w, s = _right(body, 0, zh)
-            begins.append(_slot(lang + "r", w) * SHAPES + s)
+            begins.append(_slot(after, w) * SHAPES + s)
             continues += [_continued(w, tail if zh else "", zh) for w, tail in _CERTAIN.findall(body)]
-            taken = 0
+            marked: set[int] = set()
             for m in _GAP.finditer(body):
-                if m.end() >= stop:
+                end = m.end()
+                if end >= stop:
                     break
-                taken = _BLANKS.match(body, m.end()).end()
-                marks = _plain(m[0]).replace(" ", "")
+                taken = _BLANKS.match(body, end).end()
+                marks = m[0] if len(m[0]) == 1 else _plain(m[0]).replace(" ", "")
                 w, s = _right(body, taken, zh)
-                l, ls = _left(body, m.start(), zh)
-                never = w[:1] in _NEVER_NEXT or (zh and not _FULL.intersection(m[0]) and "…" not in marks and marks[:1] == ".")
-                never = never or (marks == "." and len(l) == 3 and l[:2] == "._" and l[2].isupper())  # an initial
-                never = never or (marks[-1] in "»”’」』\"" and marks[0] not in ".。" and w.removeprefix("X").startswith(REPORTING))
-                for field, value in zip(
-                    (g.end, g.kind, g.mark, g.left, g.left_shape, g.right, g.right_shape),
-                    (at + m.end(), 3 if never else 0, zlib.crc32(f"{lang}{marks}{'_' if taken > m.end() else ''}".encode()) % MARKS, _slot(lang + "l", l), ls, _slot(lang + "r", w), s),
-                ):
-                    field.append(value)
-            if zh:
-                marked = {e - at for e in g.end}
+                l, ls = _left(body, m.start())
+                never = (
+                    w[:1] in _NEVER_NEXT
+                    or (zh and not _FULL.intersection(m[0]) and "…" not in marks and marks[:1] == ".")
+                    or (marks == "." and len(l) == 3 and l[:2] == "._" and l[2].isupper())  # an initial
+                    or (marks[-1] in "»”’」』\"" and marks[0] not in ".。" and w.removeprefix("X").startswith(REPORTING))
+                )
+                gaps.append((at + end, 3 if never else 0, _mark(lang, marks, taken > end), _slot(before, l), ls, _slot(after, w), s))
+                marked.add(end)
+            if zh and " " in body or "\u3000" in body:
                 for m in _ZH_BLANK.finditer(body):
-                    if m.start() and m.end() < stop and not any(x in marked for x in range(m.start() - 2, m.end() + 1)):
+                    if zh and m.start() and m.end() < stop and not any(x in marked for x in range(m.start() - 2, m.end() + 1)):
                         w, s = _right(body, m.end(), zh)
-                        l, ls = _left(body, m.start(), zh)
-                        for field, value in zip((g.end, g.kind, g.mark, g.left, g.left_shape, g.right, g.right_shape), (at + m.start(), 2, zlib.crc32(b"blank") % MARKS, _slot("zl", l), ls, _slot("zr", w), s)):
-                            field.append(value)
-            full = any(c in _FULL for c in body[-4:])
-            for field, value in zip((g.end, g.kind, g.mark, g.left, g.left_shape, g.right, g.right_shape), (at + stop, 4 if full else 1, 0, 0, 0, 0, 0)):
-                field.append(value)
+                        l, ls = _left(body, m.start())
+                        gaps.append((at + m.start(), 2, _mark("z", "blank", False), _slot(before, l), ls, _slot(after, w), s))
+            gaps.append((at + stop, 4 if not _FULL.isdisjoint(body[-4:]) else 1, 0, 0, 0, 0, 0))
         at += len(line) + 1
-    if zh and 2 in g.kind:
-        order = sorted(range(len(g.end)), key=g.end.__getitem__)
-        g = Gaps(*([f[i] for i in order] for f in (g.end, g.kind, g.mark, g.left, g.left_shape, g.right, g.right_shape)))
-    return g, begins, continues
+    if zh:
+        gaps.sort()
+    return gaps, begins, continues
 
 
 @dataclass(frozen=True)
@@ -187,7 +184,8 @@ class Model:
         total = shapes.sum(1) + 1.0
         q = (shapes[1, s] + 0.5 * total[1] / total.sum()) / (shapes[:, s].sum(0) + 0.5)
         n, b = words[0, w] + BACK_OFF * (1 - q), words[1, w] + BACK_OFF * q
-        return np.log(b + 1e-4) - np.log(n + 1e-4) - np.log(total[1] / total[0])
+        # Where one event hardly occurs at all, its overall odds say more about the smoothing than about the word.
+        return np.log(b + 1e-2) - np.log(n + 1e-2) - np.clip(np.log(total[1] / total[0]), -MOST_ODDS, MOST_ODDS)
 
     def emission(self, mark, left, left_shape, right, right_shape) -> np.ndarray:
         """Log odds of a boundary at each gap, its neighbours left aside."""
@@ -257,9 +255,9 @@ def gap_table(texts: DataFrame, key: str, column: str, language: str, carry: tup
                     continue
                 han = lang == "zh" if lang in ("fr", "zh") else sum("㐀" <= c <= "鿿" for c in t) * 4 > len(t)
                 g, begins, continues = gaps_of(t, han)
-                if g.end:
+                if g:
                     ids.append(n)
-                    rows.append((g.end, g.kind, g.mark, g.left, g.left_shape, g.right, g.right_shape, begins, continues))
+                    rows.append((*zip(*g), begins, continues))
             if not ids:
                 return None
             kept = [b.column(k).take(pa.array(ids)) for k in (0, *range(3, 3 + len(carry)))]
@@ -290,8 +288,8 @@ def estimate(gaps: DataFrame, rounds: int = ROUNDS) -> Model:
             for b in batches:
                 size, (end, kind, mark, left, left_shape, right, right_shape), begins, continues = _flat(b)
                 for event, certain in ((1, begins), (0, continues)):
-                    total[starts[2] + event * WORDS :][:WORDS] += (1.0 if event else COMMA_WEIGHT * 0.25**k) * np.bincount(certain // SHAPES, minlength=WORDS)
-                    total[starts[3] + event * SHAPES :][:SHAPES] += (1.0 if event else COMMA_WEIGHT * 0.25**k) * np.bincount(certain % SHAPES, minlength=SHAPES)
+                    total[starts[2] + event * WORDS :][:WORDS] += (1.0 if event else COMMA_WEIGHT * max(0.25**k, LEAST_WEIGHT)) * np.bincount(certain // SHAPES, minlength=WORDS)
+                    total[starts[3] + event * SHAPES :][:SHAPES] += (1.0 if event else COMMA_WEIGHT * max(0.25**k, LEAST_WEIGHT)) * np.bincount(certain % SHAPES, minlength=SHAPES)
                 if k == 0:
                     continue
                 post, cls = posteriors(shipped.value, size, end, kind, mark, left, left_shape, right, right_shape)

@@ -1,7 +1,8 @@
-"""Text functions as column expressions; all run inside the JVM."""
+"""Text functions as column expressions; all but decode_bytes run inside the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,10 +48,22 @@ def strip_markup(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), "&[a-z]+;", " "), "\\s+", " "))
 
 
-def decode_bytes(c: Column, encodings: tuple[str, ...] = ("utf-8", "gb18030", "big5", "iso-8859-1")) -> Column:
-    """Text of bytes by the first encoding that restores them; a byte order mark is dropped."""
-    tries = [F.when(F.encode(F.decode(c, e), e) == c, F.decode(c, e)) for e in encodings]
-    return F.regexp_replace(F.coalesce(*tries), "^﻿", "")
+def decode_bytes(c: Column, encodings: tuple[str, ...] = ("utf-8-sig", "gb18030", "big5", "iso-8859-1")) -> Column:
+    """Text of bytes by the first encoding that takes them all; a byte order mark is dropped. Arrow batches, as the JVM's decode fails on the first bad byte."""
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> str | None:
+            for e in encodings if data is not None else ():
+                try:
+                    return data.decode(e)
+                except UnicodeDecodeError:
+                    continue
+            return None
+
+        return values.map(one)
+
+    return decoded(c)
 
 
 def language(c: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,8 @@ from folioscope.functions.text import normal, words
 
 #: BM25 saturation and length weight; the constant of reciprocal-rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
+#: Query vectors shipped at once.
+QUERY_BLOCK = 2048
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,13 +42,14 @@ def bm25(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     wanted (query, term) is a driver-made table, bounded by what users type. idf is ln(1 + (N-df+.5)/(df+.5)).
     """
     sized = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("ws")).withColumn("dl", F.size("ws"))
-    totals = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    totals = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")).first()  # two numbers
+    N, avgdl = F.lit(totals.N), F.lit(totals.avgdl or 1.0)
     terms = [r.term for r in wanted.select("term").distinct().collect()]
     hits = sized.select("doc", "dl", F.explode(F.filter("ws", lambda w: w.isin(terms))).alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(F.broadcast(df), "term")  # as many rows as typed terms
+    idf = F.log(1 + (N - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     return scored.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("query", "doc").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
 
 
@@ -77,19 +83,44 @@ def ladder(docs: DataFrame, key: str, text: str, queries: dict[str, str]) -> Dat
     return hits.join(F.broadcast(best), ["query", "tier"]).select("query", "doc", "tier")
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product of two arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+def vector_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query, item, score, rank: exact top k of each query vector (query, v) against all other vectors.
 
-
-def vector_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """query, item, score, rank: exact top k of each query vector (query, v) against all vectors.
-
-    The stated query set is a bounded driver-side selection, broadcast in blocks of rows; vectors are scanned once and
-    each partition passes on only its k best per query (the window's group limit).
+    Queries are shipped in blocks of about `block`, whatever their number; each scan multiplies a partition's batches
+    with one block and passes on its k best per query only. Null vectors have no score; ties go by item.
     """
-    scored = vectors.select(F.col(key).alias("item"), vector).join(F.broadcast(queries), F.col("item") != F.col("query")).select("query", "item", F.round(dot(F.col(vector), F.col("v")), 6).alias("score"))
-    return ranked(scored, "query", "score", "item", k)
+    queries = queries.where("v is not null")
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    kind = dict(vectors.dtypes)[key]
+    parts = []
+    for b in range(blocks):
+        rows = numbered.where(F.col("b") == b).select("query", "v").collect()
+        if not rows:
+            continue
+        shipped = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in rows]), np.array([r.v for r in rows], float)))
+
+        def best(batches, shipped=shipped):
+            names, matrix = shipped.value
+            top: pd.DataFrame | None = None
+            for batch in batches:
+                items = batch.column(0).to_numpy(zero_copy_only=False)
+                scores = np.round(np.array(batch.column(1).to_pylist(), float) @ matrix.T, 6)
+                scores[items[:, None] == names[None, :]] = -np.inf
+                least = np.partition(scores, -min(k, len(items)), 0)[-min(k, len(items))]  # ties with the last stay
+                at, q = np.nonzero(scores >= least[None, :])
+                new = pd.DataFrame({"query": names[q], "item": items[at], "score": scores[at, q]})
+                new = new[np.isfinite(new.score)]
+                top = new if top is None else pd.concat([top, new])
+                top = top.sort_values(["query", "score", "item"], ascending=[True, False, True]).groupby("query").head(k)
+            if top is not None and len(top):
+                yield pa.RecordBatch.from_pandas(top, preserve_index=False)
+
+        source = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("item"), F.col(vector).alias("v"))
+        parts.append(source.mapInArrow(best, f"query {dict(queries.dtypes)['query']}, item {kind}, score double"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"query {dict(queries.dtypes)['query']}, item {kind}, score double, rank int")
+    return ranked(reduce(DataFrame.unionByName, parts), "query", "score", "item", k)
 
 
 def fused(lists: DataFrame, k: int) -> DataFrame:

@@ -151,9 +151,8 @@ def j18_fallback(spark, d):
 
 def a2_facets(spark, d):
     p = _passages(spark, d, "seminar_id", "language", "trace_status")
-    p.createOrReplaceTempView("folioscope_facets")
-    return spark.sql("""SELECT seminar_id, language, trace_status, grouping_id() AS level, count(*) AS n FROM folioscope_facets
-        GROUP BY GROUPING SETS ((seminar_id), (seminar_id, language), (seminar_id, trace_status))""").withColumn("level", F.col("level").cast("int"))
+    sets = [[F.col("seminar_id")], [F.col("seminar_id"), F.col("language")], [F.col("seminar_id"), F.col("trace_status")]]
+    return p.groupingSets(sets, "seminar_id", "language", "trace_status").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
 
 
 def a4_sessions(spark, d):

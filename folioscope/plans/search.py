@@ -129,8 +129,8 @@ def x8_same_clause(spark, d):
 
 
 def x26_quotes(spark, d):
-    spans = spark.createDataFrame([("Est-ce le miroir",), ("à voix  basse",), ("jamais écrit ainsi",), ("N. B. :",)], "span string")
-    pairs = _docs(spark, d).where("text is not null").crossJoin(F.broadcast(spans))  # four typed quotations
+    spans = F.array(*map(F.lit, ("Est-ce le miroir", "à voix  basse", "jamais écrit ainsi", "N. B. :")))
+    pairs = _docs(spark, d).where("text is not null").select("text", F.explode(spans).alias("span"))
     return pairs.groupBy("span", X.quote_status(F.col("text"), F.col("span")).alias("status")).agg(F.count("*").alias("n"))
 
 

@@ -42,6 +42,7 @@ _BLANKS = re.compile(rf"(?:[^\S\n]|[{_INVIS}])*")
 _ZH_BLANK = re.compile(rf"(?:[{_INVIS}]*[^\S\n])+[{_INVIS}]*")
 _TRAIL = re.compile(rf"(?:\s|[{_INVIS}])+\Z")
 _INV = re.compile(f"[{_INVIS}]")
+_ODD = re.compile("[^\\x00-\u00ac\u00ae-\u00ffœŒ‐-‧‹›一-鿿\u3000-〟！（），：；？]|[\u0300-\u036f]")
 _NEXT = re.compile(r"[一-鿿⺀-⿟]{1,2}|[^\W_]+|.", re.S)
 _WORDS = re.compile(r"[^\W_]+")
 _CERTAIN = re.compile(r"[,;:，；：、]\s*([一-鿿⺀-⿟]{1,2}|[^\W_]+|.)(.{0,2})", re.S)
@@ -55,6 +56,11 @@ def _plain(s: str) -> str:
     return s if s.isascii() else unicodedata.normalize("NFKC", _INV.sub("", s).translate(_LOOK))
 
 
+def _tidy(s: str) -> str:
+    """_plain for words: what holds no letter in disguise stays as it is, punctuation included."""
+    return _plain(s) if _ODD.search(s) else s
+
+
 @lru_cache(1 << 16)
 def _slot(kind: str, word: str) -> int:
     return zlib.crc32((kind + word).encode("utf-8", "surrogatepass")) % WORDS
@@ -77,7 +83,7 @@ def _shape(w: str) -> int:
 
 
 def _left(line: str, at: int) -> tuple[str, int]:
-    part = _plain(line[max(0, at - 30) : at])
+    part = _tidy(line[max(0, at - 30) : at])
     words = list(_WORDS.finditer(part))
     if not words:
         return "", 0
@@ -91,7 +97,7 @@ def _left(line: str, at: int) -> tuple[str, int]:
 
 
 def _right(line: str, at: int, zh: bool) -> tuple[str, int]:
-    part = _plain(line[at : at + 36 if zh else at + 16]).lstrip()
+    part = _tidy(line[at : at + 36 if zh else at + 16]).lstrip()
     m = _NEXT.match(part)
     if not m:
         return "", 0

@@ -87,7 +87,7 @@ def permute(ordinal: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     while len(todo):
         left, right = x[todo] >> half[todo], x[todo] & mask[todo]
         for r in range(4):
-            f = mix((right + np.uint64(r + 1) * _MULT) ^ key[todo]) & mask[todo]
+            f = mix((right + np.uint64((r + 1) * int(_MULT) % 2**64)) ^ key[todo]) & mask[todo]
             left, right = right, left ^ f
         x[todo] = (left << half[todo]) | right
         todo = todo[x[todo] >= n[todo].astype(np.uint64)]

@@ -312,7 +312,7 @@ def estimate(gaps: DataFrame, rounds: int = ROUNDS) -> Model:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
-        rows = gaps.mapInArrow(count, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        rows = gaps.select(*_LISTS).mapInArrow(count, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
         shipped.unpersist()
         flat = np.zeros(starts[-1], np.float32)
         flat[rows.slot.to_numpy()] = rows.n.to_numpy()

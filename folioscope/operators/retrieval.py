@@ -72,13 +72,14 @@ def holds_phrase(c: Column, phrase: str) -> Column:
 
 def ladder(docs: DataFrame, key: str, text: str, queries: dict[str, str]) -> DataFrame:
     """query, doc, tier of the tightest variant with any match: 1 phrase, 2 all words, 3 any word; never a union."""
+    # The text is folded once; words and phrases are looked for between blanks.
+    docs = docs.select(F.col(key).alias("doc"), F.concat(F.lit(" "), normal(F.col(text)), F.lit(" ")).alias("padded"))
     parts = []
     for name, q in sorted(queries.items()):
-        terms = [t for t in q.lower().split() if len(t) > 1]
-        any_word = F.arrays_overlap(words(F.col(text)), F.array(*map(F.lit, terms)))
-        tier = F.when(holds_phrase(F.col(text), q), 1).when(holds_all(F.col(text), terms), 2).when(any_word, 3)
+        within = [F.contains(F.col("padded"), F.concat(F.lit(" "), normal(F.lit(t)), F.lit(" "))) for t in (q, *(t for t in q.lower().split() if len(t) > 1))]
+        tier = F.when(within[0], 1).when(reduce(lambda a, b: a & b, within[1:], F.lit(True)), 2).when(reduce(lambda a, b: a | b, within[1:], F.lit(False)), 3)
         parts.append(F.struct(F.lit(name).alias("query"), tier.alias("tier")))
-    hits = docs.select(F.col(key).alias("doc"), F.explode(F.array(*parts)).alias("m")).select("doc", "m.query", "m.tier").where("tier is not null")
+    hits = docs.select("doc", F.explode(F.array(*parts)).alias("m")).select("doc", "m.query", "m.tier").where("tier is not null")
     best = hits.groupBy("query").agg(F.min("tier").alias("tier"))
     return hits.join(F.broadcast(best), ["query", "tier"]).select("query", "doc", "tier")
 

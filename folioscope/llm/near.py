@@ -4,11 +4,15 @@ A text's set of distinct character sequences is embedded into a min-hash signatu
 paths: a path's pseudorandom draw samples signature coordinates, and the record follows each with its own value, so
 that similar records meet on the same path. Small buckets of records on one path are compared by brute force
 (first by sketch, then exactly); larger ones are split further, and whatever stays together down to the last level
-is compared in full by a skew-split join.
+is compared in full by a skew-split join. Each level parts some similar records, so those that descend further get
+more runs.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -25,6 +29,8 @@ from folioscope.llm.lookalike import LEAST, corpus_classes, rewriter
 SHINGLE, SIMILARITY = 5, 0.6
 #: Signature coordinates, runs, levels of the first descent and of each further one, most levels.
 COORDINATES, RUNS, FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 128, 8, 3, 3, 12
+#: Expected share of pairs at the least similarity that meet, at whatever level their buckets end.
+RECALL = 0.97
 #: Buckets up to this many records are compared at once; larger ones are split further.
 SMALL = 192
 #: Sketch bits in which a pair may differ; at similarity 0.6, 128 bits differ in 25.6 on average with deviation 4.5.
@@ -95,11 +101,27 @@ def descend(sig: np.ndarray, owner: np.ndarray, path: np.ndarray, levels: int, s
     return owner, path
 
 
-def first_paths(sig: np.ndarray, runs: int = RUNS, levels: int = FIRST_LEVELS, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and paths of all runs after the first descent, without repeats."""
+def first_paths(sig: np.ndarray, runs: int = RUNS, levels: int = FIRST_LEVELS, similarity: float = SIMILARITY, done: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and paths of the runs from `done` on after the first descent, without repeats."""
     n = len(sig)
-    roots = mix((np.arange(runs, dtype=np.uint64) + np.uint64(77)) * _MULT)
-    return descend(sig, np.tile(np.arange(n), runs), np.repeat(roots, n), levels, similarity)
+    roots = mix((np.arange(done, runs, dtype=np.uint64) + np.uint64(77)) * _MULT)
+    return descend(sig, np.tile(np.arange(n), runs - done), np.repeat(roots, n), levels, similarity)
+
+
+def runs_for(levels: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Runs after which pairs of the least similarity have met `levels` down with the recall wanted; RUNS at least.
+
+    How many coordinates a pair has in common is binomial; each is followed with probability 1/(similarity * COORDINATES).
+    """
+    common = np.arange(COORDINATES + 1)
+    weight = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in common])
+    met = np.ones(COORDINATES + 1)
+    for _ in range(levels):
+        met = 1 - (1 - met / (similarity * COORDINATES)) ** common
+    runs = RUNS
+    while levels > FIRST_LEVELS and weight @ (1 - met) ** runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _u(col: pa.Array) -> np.ndarray:
@@ -128,8 +150,8 @@ def fingerprints(texts: DataFrame, key: str, column: str, least: int = LEAST) ->
     return stage(map_batches(source, "id string, code long, s1 long, s2 long, skeleton string", make), "fingerprints")
 
 
-def _walk(records: DataFrame, levels: int) -> DataFrame:
-    """code, path of records (code, skeleton, and the paths reached so far, or none at the start)."""
+def _walk(records: DataFrame, levels: int, runs: int = RUNS, done: int = 0) -> DataFrame:
+    """code, path of records (code, skeleton, and the paths reached so far, or none at the start of the runs from `done` on)."""
     further = "paths" in records.columns
 
     def make():
@@ -139,7 +161,7 @@ def _walk(records: DataFrame, levels: int) -> DataFrame:
                 counts = pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
                 owner, path = descend(sig, np.repeat(np.arange(len(codes)), counts), _u(b.column(2).flatten()), levels)
             else:
-                owner, path = first_paths(sig, levels=levels)
+                owner, path = first_paths(sig, runs, levels, done=done)
             return pa.RecordBatch.from_arrays([pa.array(codes[owner].view(np.int64)), pa.array(path.view(np.int64))], ["code", "path"])
 
         return step
@@ -170,17 +192,27 @@ def candidate_pairs(unique: DataFrame) -> DataFrame:
     """Distinct pairs a < b of uids that met in a bucket of the chosen-path recursion."""
     sketch = unique.select(F.col("uid").alias("code"), "s1", "s2")
     texts = unique.select(F.col("uid").alias("code"), "skeleton")
-    buckets, levels, pairs = _buckets(_walk(texts, FIRST_LEVELS)), FIRST_LEVELS, None
-    while True:
-        large = buckets.where(F.col("n") > SMALL)
-        last = levels >= MOST_LEVELS or large.isEmpty()
-        found = _close(buckets if last else buckets.where(F.col("n") <= SMALL), sketch)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if last:
-            return pairs.distinct()
+    found = []
+
+    def settle(paths: DataFrame) -> DataFrame:
+        """The large buckets of the paths; the small ones are compared."""
+        buckets = _buckets(paths)
+        found.append(_close(buckets.where(F.col("n") <= SMALL), sketch))
+        return buckets.where(F.col("n") > SMALL)
+
+    def deeper(large: DataFrame) -> DataFrame:
         reached = large.groupBy("code").agg(F.collect_list("path").alias("paths"))
-        buckets = _buckets(_walk(texts.join(reached, "code").select("code", "skeleton", "paths"), MORE_LEVELS))
-        levels += MORE_LEVELS
+        return settle(_walk(texts.join(reached, "code").select("code", "skeleton", "paths"), MORE_LEVELS))
+
+    large, levels, runs = settle(_walk(texts, FIRST_LEVELS)), FIRST_LEVELS, RUNS
+    while levels < MOST_LEVELS and not large.isEmpty():
+        more = runs_for(levels + MORE_LEVELS)
+        again = settle(_walk(texts.join(large.select("code").distinct(), "code", "left_semi"), FIRST_LEVELS, more, runs))
+        for _ in range(FIRST_LEVELS, levels, MORE_LEVELS):
+            again = deeper(again)
+        large, levels, runs = deeper(large.unionByName(again)), levels + MORE_LEVELS, more
+    found.append(_close(large, sketch))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def similar_pairs(unique: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

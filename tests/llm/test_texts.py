@@ -73,6 +73,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30
 
 
+def test_near_duplicates_far_down(spark, monkeypatch):
+    monkeypatch.setattr(near, "SMALL", 2)
+    draw = random.Random(5)
+    base, rows = [draw.randrange(10**6) for _ in range(60)], []
+    for k in range(240):
+        own = [w if draw.random() < 0.85 else draw.randrange(10**6) for w in base]
+        rows.append((f"{k:03}", " ".join(f"mot{w:06}" for w in own)))
+    kept = dict(rows)
+    want = {(a, b) for a in kept for b in kept if a < b and 0.6 <= similarity(kept[a], kept[b]) < 0.65}
+    got = {(r.id_a, r.id_b) for r in near.near_duplicate_pairs(texts(spark, rows), "id", "raw_text").collect()}
+    assert len(want) > 300 and len(want & got) >= 0.95 * len(want)
+    assert [near.runs_for(levels) for levels in (3, 6, 9)] == sorted({near.runs_for(levels) for levels in (3, 6, 9)})
+
+
 def test_near_duplicates_of_one_cluster(spark, monkeypatch):
     monkeypatch.setattr(near, "SMALL", 8)
     rows = [(f"{i:02d}", f"{LONG} variante numéro {i}") for i in range(30)]

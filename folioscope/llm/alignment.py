@@ -13,7 +13,6 @@ import re
 import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,6 @@ WORDS, TABLE, ROUNDS, LEXICON = 1 << 20, 1 << 20, 5, 200_000
 LIKELY, SEEN = 0.12, 3
 #: Least share of a translation's occurrences that a word must explain: what merely stands beside it explains little.
 EXPLAINED = 0.1
-#: Rare lexemes of a sentence that are combined by threes into keys.
-RAREST = 5
-#: Lexemes beyond which a sentence may stand for two: its halves have keys of their own.
-LONG = 8
 #: Sentences of one language that may share a seed's names and numbers.
 SEED_SIDES = 2
 #: Least share of the lighter sentence's weight that a pair has in common, and least likeness of all.
@@ -229,47 +224,28 @@ def _session(session: str) -> int:
 
 
 def rare_keys(row: np.ndarray, code: np.ndarray, w: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every three of a row's rarest lexemes, or of all if it has fewer; without repeats.
+    """Row and key of lexemes and of pairs of them, such that all rows with ALIKE of either's weight in common share a key.
 
-    row is ascending, code in the order of the words. Rows of more than LONG words have the keys of their halves too.
+    row is ascending. A single lexeme in common must weigh that much itself. Of several, the two rarest are preceded in
+    either row, rarest first, by at most the weight not in common and each other: later lexemes need no pairs.
     """
-    n, said = len(base), code < WORDS
-    words = np.bincount(row[said], minlength=n)
-    place = np.cumsum(said) - 1
-    place = place - np.concatenate([[0], np.cumsum(words)])[:-1][row]
-    half, long = words[row] // 2, said & (words[row] > LONG)
-    one, two = long & (place <= half), long & (place >= half)
-    part = np.concatenate([row, n + row[one], 2 * n + row[two]])
-    code = np.concatenate([code, code[one], code[two]])
-
-    def rank(ordered: np.ndarray) -> np.ndarray:
-        start = np.flatnonzero(np.diff(ordered, prepend=-1))
-        return np.arange(len(ordered)) - np.repeat(start, np.diff(np.append(start, len(ordered))))
-
-    order = np.lexsort((code, -w[code], part))
-    part, code = part[order], code[order]
-    keep = rank(part) < RAREST
-    part, code = part[keep], code[keep]
-    order = np.lexsort((code, part))
-    part, code = part[order], code[order]
-    table = np.full((3 * n, RAREST), -1, np.int64)
-    table[part, rank(part)] = code
-    size = (table >= 0).sum(1)
-    owners, keys = [], []
-    for few in (1, 2):
-        at = np.flatnonzero(size == few)
-        owners.append(at % n)
-        keys.append(_chain(base[at % n], table[at, :few]))
-    for three in combinations(range(RAREST), 3):
-        at = np.flatnonzero(size > three[2])
-        owners.append(at % n)
-        keys.append(_chain(base[at % n], table[at][:, three]))
-    owner, key = np.concatenate(owners), np.concatenate(keys)
-    order = np.lexsort((key, owner))
-    owner, key = owner[order], key[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (np.diff(owner) != 0) | (key[1:] != key[:-1])
-    return owner[new], key[new]
+    order = np.lexsort((code, -w[code], row))
+    row, code = row[order], code[order]
+    weight = w[code].astype(np.float64)
+    total = np.bincount(row, weight, minlength=len(base))[row] * (1 + 1e-6)  # sums are rounded
+    start = np.flatnonzero(np.diff(row, prepend=-1))
+    begin = np.repeat(start, np.diff(np.append(start, len(row))))
+    before = np.cumsum(weight) - weight
+    before -= before[begin]
+    alone = weight >= ALIKE * total * (1 - 2e-6)
+    owners, keys = [row[alone]], [_chain(base[row[alone]], code[alone, None])]
+    ahead = (np.arange(len(row)) == begin) | (before - weight[begin] <= (1 - ALIKE) * total)
+    row, code = row[ahead], code[ahead]
+    for apart in range(1, int(np.bincount(row).max(initial=0))):
+        at = np.flatnonzero(row[apart:] == row[:-apart])
+        owners.append(row[at])
+        keys.append(_chain(base[row[at]], np.stack([code[at], code[at + apart]], 1)))
+    return np.concatenate(owners), np.concatenate(keys)
 
 
 def _chain(base: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -354,8 +330,8 @@ def aligned(passages: DataFrame) -> DataFrame:
     """fr_id, fr_end, zh_id, zh_end of sentences of one session that translate each other.
 
     A translation comes after its original: the French passage has the smaller id. Reads id, session_id, language, text_role, raw_text. Null ids, sessions, texts and languages other than fr and zh
-    have no part; repeated deliveries count once; sessions of any size are joined by session and three rare lexemes,
-    never pairwise. Without sentences that share names or numbers there is no translation table and no pair.
+    have no part; repeated deliveries count once; sessions of any size are joined by session and two lexemes (one
+    if it makes up much of the sentence), never pairwise. Without sentences that share names or numbers there is no translation table and no pair.
     """
     texts = passages.where("language in ('fr', 'zh') and session_id is not null and (text_role is null or text_role <> 'edition')")
     both = texts.groupBy("session_id").agg(F.min("language").alias("a"), F.max("language").alias("b")).where("a <> b").select("session_id")

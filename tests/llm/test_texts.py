@@ -296,3 +296,25 @@ def test_segments_against_brute_force():
         parts = abuse.maximal_segments(s)
         assert all(b <= c for (_, _, b), (_, c, _) in zip(sorted(parts, key=lambda x: x[1]), sorted(parts, key=lambda x: x[1])[1:]))
         assert not parts or abs(max(x for x, _, _ in parts) - want) < 1e-9
+
+
+def test_all_alike_sentences_share_a_key():
+    draw = random.Random(3)
+    w = np.zeros(2 * alignment.WORDS, np.float32)
+    w[:60] = [draw.uniform(0.3, 9) for _ in range(60)]
+    w[60:64] = 4
+    rows = [[60], [60, 61], [60, 61, 62], [61, 62], *(draw.sample(range(60), draw.randint(1, 14)) for _ in range(500))]
+    row, code = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([x for r in rows for x in r])
+    owner, keys = alignment.rare_keys(row, code, w, np.full(len(rows), 7, np.uint64))
+    held = [set() for _ in rows]
+    for o, k in zip(owner.tolist(), keys.tolist()):
+        held[o].add(k)
+    heavy = [float(w[r].sum()) for r in rows]
+    alike = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            common = float(w[list(set(rows[i]) & set(rows[j]))].sum())
+            if common >= alignment.CONTAINED * min(heavy[i], heavy[j]) and common >= alignment.ALIKE * max(heavy[i], heavy[j]):
+                alike += 1
+                assert held[i] & held[j], (rows[i], rows[j])
+    assert alike > 50

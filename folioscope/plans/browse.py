@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,6 +125,28 @@ def j8_mentions(spark, d):
     return grams.join(names, "folded").groupBy("id").agg(F.countDistinct("doc_id").alias("documents"))
 
 
+def j8_all_mentions(spark, d):
+    """Documents by entity, for names of any shape: Chinese ones anywhere in the packed text, others at word boundaries (also beside Chinese)."""
+
+    def apart(c):
+        return X.words(F.regexp_replace(c, "(\\p{IsHan}+)", " $1 "))
+
+    han = F.col("folded").rlike("\\p{IsHan}")
+    names = _aliases(spark, d).where("folded <> ''").select("id", han.alias("han"), F.when(han, F.replace("folded", F.lit(" "), F.lit(""))).otherwise(F.array_join(apart(F.col("folded")), " ")).alias("form")).distinct()
+    names = names.withColumn("n", F.when(F.col("han"), F.length("form")).otherwise(F.size(F.split("form", " "))))
+    sizes = sorted(tuple(r) for r in names.select("han", "n").distinct().collect())  # a few lengths, whatever the number of names
+    docs = table(spark, d, "documents").select("doc_id", apart(F.col("text")).alias("ws")).withColumn("packed", F.array_join("ws", ""))
+
+    def forms(han: bool, n: int):
+        whole = F.length("packed") if han else F.size("ws")
+        at = F.when(whole >= n, F.sequence(F.lit(1), whole - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.struct(F.lit(han).alias("han"), (F.substring("packed", i, F.lit(n)) if han else F.array_join(F.slice("ws", i, n), " ")).alias("form"))))
+
+    seen = [docs.where(F.col("packed").rlike("\\p{IsHan}") if h else F.lit(True)).select("doc_id", F.inline(forms(h, n))) for h, n in sizes]
+    met = reduce(DataFrame.unionByName, seen) if seen else docs.select("doc_id", F.lit(False).alias("han"), F.lit("").alias("form")).limit(0)
+    return met.join(names.select("id", "han", "form"), ["han", "form"]).groupBy("id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 def j12_layers(spark, d):
     a = _passages(spark, d, "session_id").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n"))
     b = table(spark, d, "sessions").groupBy("id").agg(F.max("passage_count").alias("declared"))
@@ -336,7 +360,7 @@ def streaming_sessions(spark, d):
     return e.groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-_Q = [f1_filters, f4_interval_overlap, f5_attestation, f6_patterns, f7_pool_topk, f12_derived_seminar, f13_period_labels, f14_overlay, j2_sources, j3_provenance_chain, j4_unlinked_witnesses, j5_links, j7_other_aliases, j8_mentions, j12_layers, j14_equivalents, j15_period_of_year, j18_fallback, a2_facets, a4_sessions, a6_coverage, a7_provenance, a9_formalism, a10_samples, a13_double_count, a16_metadata, a17_concentration, a18_jaccard, a19_duplicates, a20_conflicts, a24_quantiles, a25_content_hash, w1_numbering, w2_context, w4_neighbours, w7_capped, w8_diversified, w10_interleaved, w11_first_wins, w13_series, w15_hash_sample, k4_keyset, k6_compound_keyset, k7_offset, u2_union, u4_intersection, u5_difference, u6_snapshot_diff, x2_language, x13_claims, x15_isbn, s13_segments, streaming_sessions]
+_Q = [f1_filters, f4_interval_overlap, f5_attestation, f6_patterns, f7_pool_topk, f12_derived_seminar, f13_period_labels, f14_overlay, j2_sources, j3_provenance_chain, j4_unlinked_witnesses, j5_links, j7_other_aliases, j8_mentions, j8_all_mentions, j12_layers, j14_equivalents, j15_period_of_year, j18_fallback, a2_facets, a4_sessions, a6_coverage, a7_provenance, a9_formalism, a10_samples, a13_double_count, a16_metadata, a17_concentration, a18_jaccard, a19_duplicates, a20_conflicts, a24_quantiles, a25_content_hash, w1_numbering, w2_context, w4_neighbours, w7_capped, w8_diversified, w10_interleaved, w11_first_wins, w13_series, w15_hash_sample, k4_keyset, k6_compound_keyset, k7_offset, u2_union, u4_intersection, u5_difference, u6_snapshot_diff, x2_language, x13_claims, x15_isbn, s13_segments, streaming_sessions]
 
 
 def queries() -> dict:
@@ -374,6 +398,9 @@ def _sql() -> dict[str, str]:
         "j8_mentions": f"""WITH a AS (SELECT DISTINCT id, folded FROM {aliases} WHERE NOT regexp_matches(folded, '\\p{{Han}}') AND len({words('folded')}) = 2),
             t AS (SELECT doc_id, ' ' || array_to_string({words('text')}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
             SELECT a.id, count(DISTINCT doc_id) AS documents FROM a JOIN t ON contains(t.t, ' ' || a.folded || ' ') GROUP BY 1""",
+        "j8_all_mentions": f"""WITH a AS (SELECT DISTINCT id, folded FROM {aliases} WHERE folded <> ''),
+            t AS (SELECT doc_id, ' ' || array_to_string({words("regexp_replace(text, '([\\p{Han}]+)', ' \\1 ', 'g')")}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
+            SELECT a.id, count(DISTINCT doc_id) AS documents FROM a JOIN t ON CASE WHEN regexp_matches(folded, '\\p{{Han}}') THEN contains(replace(t.t, ' ', ''), replace(a.folded, ' ', '')) ELSE contains(t.t, ' ' || a.folded || ' ') END GROUP BY 1""",
         "j12_layers": f"""SELECT coalesce(a.id, b.id) AS id, n, declared, concat_ws('+', CASE WHEN n IS NOT NULL THEN 'passages' END, CASE WHEN b.id IS NOT NULL THEN 'sessions' END) AS layers
             FROM (SELECT session_id AS id, count(*) AS n FROM {ONCE} GROUP BY 1) a FULL OUTER JOIN (SELECT id, max(passage_count) AS declared FROM sessions GROUP BY 1) b ON a.id = b.id""",
         "j14_equivalents": """WITH f AS (SELECT id, 'fr' AS lang, trim(fr) AS form FROM spec UNION ALL SELECT id, 'en', trim(en) FROM spec UNION ALL SELECT id, 'zh', trim(zh) FROM spec)

@@ -148,3 +148,14 @@ def test_streams(spark, tmp_path):
     q = source().writeStream.foreachBatch(ingest.upsert(str(tmp_path / "up"), "id", "at")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.id, r.at.minute) for r in spark.read.parquet(str(tmp_path / "up/current")).collect()} == {("a", 5), ("b", 0)}
+
+
+def test_mentions_of_names_of_any_shape(spark, tmp_path):
+    from folioscope.plans import browse
+
+    spec = [("a", "common ship", None, None, "共同 船只", ["le navire commun"]), ("b", "Ship", None, None, None, None), ("c", "absent name here", None, None, "船", None)]
+    spark.createDataFrame(spec, "id string, canonical_name string, fr string, en string, zh string, aliases array<string>").write.parquet(f"{tmp_path}/spec.parquet")
+    docs = [(1, "Le Navire, commun!"), (2, "这共同船只在"), (3, "shipping"), (4, "看ship吧"), (5, None), (6, "a common ship, a common ship"), (7, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = browse.queries()["j8_all_mentions"]
+    assert {r.id: r.documents for r in query(spark, str(tmp_path)).collect()} == {"a": 3, "b": 2, "c": 1}

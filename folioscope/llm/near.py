@@ -33,8 +33,10 @@ COORDINATES, RUNS, FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 128, 8, 3, 3, 12
 RECALL = 0.97
 #: Buckets up to this many records are compared at once; larger ones are split further.
 SMALL = 192
-#: Sketch bits in which a pair may differ; at similarity 0.6, 128 bits differ in 25.6 on average with deviation 4.5.
-SKETCH_BITS, MOST_DIFFERENT = 128, 38
+#: Sketch bits in which a pair may differ; at similarity 0.6, 128 bits differ in 25.6 on average with deviation 4.3.
+SKETCH_BITS, MOST_DIFFERENT = 128, 41
+#: The same for texts with fewer filled bins than this, whose bits deviate more (5.5 for 45 sequences).
+FEW_BINS = {60: 46, 90: 43}
 #: Bits of a path's hash: shuffled rows compress better, while strangers hardly ever share a path.
 PATH_BITS = 44
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -62,6 +64,11 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: list[str]) -> np.ndarray:
     """One-permutation min-hash of each text's set, texts x COORDINATES; an empty bin borrows from the next filled one."""
+    return _signatures(texts)[0]
+
+
+def _signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and the number of filled bins."""
     h, owner = shingle_hashes(texts)
     n, none = len(texts), np.uint64(2**64 - 1)
     sig = np.full(n * COORDINATES, none)
@@ -71,7 +78,12 @@ def signatures(texts: list[str]) -> np.ndarray:
     twice = np.where(np.concatenate([filled, filled], 1), np.arange(2 * COORDINATES), 2 * COORDINATES)
     nearest = np.minimum.accumulate(twice[:, ::-1], 1)[:, ::-1][:, :COORDINATES]
     sig = np.take_along_axis(sig, nearest % COORDINATES, 1)
-    return sig + (nearest - np.arange(COORDINATES)).astype(np.uint64) * _MULT
+    return sig + (nearest - np.arange(COORDINATES)).astype(np.uint64) * _MULT, filled.sum(1)
+
+
+def most_different(filled: np.ndarray) -> np.ndarray:
+    """Sketch bits in which a text may differ from a similar one, by its number of filled bins."""
+    return np.select([filled < few for few in FEW_BINS], list(FEW_BINS.values()), MOST_DIFFERENT).astype(np.int8)
 
 
 def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +141,7 @@ def _u(col: pa.Array) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, key: str, column: str, least: int = LEAST) -> DataFrame:
-    """Stage table id, code (64-bit hash of the skeleton), s1, s2 (sketch), skeleton of every text that counts."""
+    """Stage table id, code (64-bit hash of the skeleton), s1, s2 (sketch), most (bits that may differ), skeleton of every text that counts."""
     classes = corpus_classes(texts, column)
 
     def make():
@@ -140,14 +152,15 @@ def fingerprints(texts: DataFrame, key: str, column: str, least: int = LEAST) ->
             if not rows:
                 return None
             ids, texts = zip(*rows)
-            s1, s2 = sketches(signatures(list(texts)))
+            sig, filled = _signatures(list(texts))
+            s1, s2 = sketches(sig)
             codes = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(codes), pa.array(s1), pa.array(s2), pa.array(texts, pa.string())], ["id", "code", "s1", "s2", "skeleton"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(codes), pa.array(s1), pa.array(s2), pa.array(most_different(filled)), pa.array(texts, pa.string())], ["id", "code", "s1", "s2", "most", "skeleton"])
 
         return step
 
     source = texts.select(F.col(key).cast("string").alias("id"), column)
-    return stage(map_batches(source, "id string, code long, s1 long, s2 long, skeleton string", make), "fingerprints")
+    return stage(map_batches(source, "id string, code long, s1 long, s2 long, most byte, skeleton string", make), "fingerprints")
 
 
 def _walk(records: DataFrame, levels: int, runs: int = RUNS, done: int = 0) -> DataFrame:
@@ -177,20 +190,20 @@ def _buckets(paths: DataFrame) -> DataFrame:
 def _close(rows: DataFrame, prints: DataFrame) -> DataFrame:
     """a < b of records on one path whose sketches agree as much as similar records' do."""
     drawn = rows.join(prints, "code")
-    a = drawn.select("path", F.col("code").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    b = drawn.select("path", F.col("code").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    near = F.expr(f"bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {MOST_DIFFERENT}")
+    a = drawn.select("path", F.col("code").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("most").alias("am"))
+    b = drawn.select("path", F.col("code").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("most").alias("bm"))
+    near = F.expr("bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= greatest(am, bm)")
     return a.join(b, "path").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def unique_texts(prints: DataFrame) -> DataFrame:
-    """Stage table uid, code, s1, s2, skeleton: one row per skeleton, with a short number that is shuffled in its stead."""
-    return stage(prints.select("code", "s1", "s2", "skeleton").dropDuplicates(["code"]).withColumn("uid", F.monotonically_increasing_id()), "unique")
+    """Stage table uid, code, s1, s2, most, skeleton: one row per skeleton, with a short number that is shuffled in its stead."""
+    return stage(prints.select("code", "s1", "s2", "most", "skeleton").dropDuplicates(["code"]).withColumn("uid", F.monotonically_increasing_id()), "unique")
 
 
 def candidate_pairs(unique: DataFrame) -> DataFrame:
     """Distinct pairs a < b of uids that met in a bucket of the chosen-path recursion."""
-    sketch = unique.select(F.col("uid").alias("code"), "s1", "s2")
+    sketch = unique.select(F.col("uid").alias("code"), "s1", "s2", "most")
     texts = unique.select(F.col("uid").alias("code"), "skeleton")
     found = []
 

@@ -87,6 +87,20 @@ def test_near_duplicates_far_down(spark, monkeypatch):
     assert [near.runs_for(levels) for levels in (3, 6, 9)] == sorted({near.runs_for(levels) for levels in (3, 6, 9)})
 
 
+def test_sketches_keep_similar_short_texts():
+    draw, missed, n = random.Random(2), 0, 4000
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    a, b = [], []
+    for _ in range(n):
+        common, ends = draw.choices(letters, k=38), [draw.choices(letters, k=11) for _ in range(2)]
+        a.append("".join(common + ends[0]))  # 45 sequences, 34 of them common: similarity 34/56
+        b.append("".join(common + ends[1]))
+    most = [near.most_different(near._signatures(s)[1]) for s in (a, b)]
+    for x, y, m, k in zip(zip(*near.sketches(near.signatures(a))), zip(*near.sketches(near.signatures(b))), *most):
+        missed += sum(((int(p) ^ int(q)) & (2**64 - 1)).bit_count() for p, q in zip(x, y)) > max(m, k)
+    assert missed <= 0.002 * n
+
+
 def test_near_duplicates_of_one_cluster(spark, monkeypatch):
     monkeypatch.setattr(near, "SMALL", 8)
     rows = [(f"{i:02d}", f"{LONG} variante numéro {i}") for i in range(30)]

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions.stages import stage
 from folioscope.llm.arrow import map_batches, mix
-from folioscope.llm.sentences import _flat, _tidy, estimate, gap_table, posteriors
+from folioscope.llm.sentences import Model, _flat, _tidy, estimate, gap_table, posteriors
 
 #: Word codes; slots of the translation table; rounds; lexicon entries kept (the most frequent words).
 WORDS, TABLE, ROUNDS, LEXICON = 1 << 20, 1 << 20, 5, 200_000
@@ -70,13 +70,13 @@ def words_of(sentence: str, zh: bool) -> tuple[list[int], list[int]]:
     return list(dict.fromkeys(anchors)), list(dict.fromkeys(words))
 
 
-def sentence_table(texts: DataFrame) -> DataFrame:
+def sentence_table(texts: DataFrame, model: Model) -> DataFrame:
     """Stage table u, id, end_char, session, zh, anchors, words of the sentences of id, session_id, language, raw_text.
 
     Each (id, session_id) is expected once.
     """
     gaps = gap_table(texts, "id", "raw_text", "language", ("session_id", "raw_text", "language"))
-    shipped = texts.sparkSession.sparkContext.broadcast(estimate(gaps))
+    shipped = texts.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def step(b: pa.RecordBatch):
@@ -333,11 +333,13 @@ def aligned(passages: DataFrame) -> DataFrame:
     have no part; repeated deliveries count once; sessions of any size are joined by session and two lexemes (one
     if it makes up much of the sentence), never pairwise. Without sentences that share names or numbers there is no translation table and no pair.
     """
-    texts = passages.where("language in ('fr', 'zh') and session_id is not null and (text_role is null or text_role <> 'edition')")
+    plain = passages.where("text_role is null or text_role <> 'edition'")
+    model = estimate(gap_table(plain, "id", "raw_text", "language"))  # on the same texts as problem 6: sentences end where its do
+    texts = plain.where("language in ('fr', 'zh') and session_id is not null")
     both = texts.groupBy("session_id").agg(F.min("language").alias("a"), F.max("language").alias("b")).where("a <> b").select("session_id")
     # Deliveries of one passage name one session: the shuffle by session serves the filter and their removal.
     once = texts.select("id", "session_id", "language", "raw_text").join(both, "session_id", "left_semi").dropDuplicates(["session_id", "id"])
-    sentences = sentence_table(once)
+    sentences = sentence_table(once, model)
     lex = lexemes(sentences, translation_table(seed_pairs(sentences)))
     pairs = candidates(lex, weights_of(lex))
     linked = link(pairs)

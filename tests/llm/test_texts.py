@@ -332,3 +332,16 @@ def test_all_alike_sentences_share_a_key():
                 alike += 1
                 assert held[i] & held[j], (rows[i], rows[j])
     assert alike > 50
+
+
+def test_alignment_estimates_sentences_on_all_texts(spark, monkeypatch):
+    seen, real = set(), alignment.estimate
+
+    def estimate(gaps):
+        seen.update(r.id for r in gaps.select("id").collect())
+        return real(gaps)
+
+    monkeypatch.setattr(alignment, "estimate", estimate)
+    rows = [("a", "s", "fr", None, "Le miroir tombe. Il pleut."), ("b", "s", "zh", None, "镜子掉了。下雨了。"), ("c", "t", "fr", None, "Une lettre. Une autre."), ("d", None, "en", None, "One letter. Another."), ("e", "t", "fr", "edition", "Une note. Une autre.")]
+    alignment.aligned(spark.createDataFrame(rows, "id string, session_id string, language string, text_role string, raw_text string")).count()
+    assert seen == {"a", "b", "c", "d"}

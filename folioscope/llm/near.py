@@ -11,7 +11,7 @@ more runs.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,6 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioscope.functions.stages import stage
 from folioscope.llm.arrow import code_points, map_batches, mix
@@ -27,12 +26,15 @@ from folioscope.llm.lookalike import LEAST, corpus_classes, rewriter
 
 #: Length of the character sequences and the least similarity of a pair.
 SHINGLE, SIMILARITY = 5, 0.6
-#: Signature coordinates, runs, levels of the first descent and of each further one, most levels.
-COORDINATES, RUNS, FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 128, 8, 3, 3, 12
+#: Signature coordinates, levels of the first descent and of each further one, most levels.
+COORDINATES, FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 128, 3, 1, 8
+#: Coordinates that a node follows, times the least similarity: under 1 a run dies out more often, but the runs that the
+#: recall then needs write fewer paths together (23 a record after three levels, 37 with 1; 113 and 280 after six).
+BRANCHING = 0.5
 #: Expected share of pairs at the least similarity that meet, at whatever level their buckets end.
 RECALL = 0.97
 #: Buckets up to this many records are compared at once; larger ones are split further.
-SMALL = 192
+SMALL = 1024
 #: Sketch bits in which a pair may differ; at similarity 0.6, 128 bits differ in 25.6 on average with deviation 4.3.
 SKETCH_BITS, MOST_DIFFERENT = 128, 41
 #: The same for texts with fewer filled bins than this, whose bits deviate more (5.5 for 45 sequences).
@@ -93,46 +95,70 @@ def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[:, 0], words[:, 1]
 
 
+@lru_cache(4)
+def _draws(similarity: float) -> np.ndarray:
+    """Distribution of the number of draws at a node. Poisson draws with replacement follow each coordinate independently."""
+    rate = -COORDINATES * math.log1p(-BRANCHING / (similarity * COORDINATES))
+    return np.cumsum([math.exp(-rate) * rate**k / math.factorial(k) for k in range(16)])
+
+
+def _followed(path: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the node and coordinate of everything that the nodes follow, each coordinate once; a node is a path."""
+    share = (mix(path ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    count = np.searchsorted(_draws(similarity), share)
+    nodes, coords = [], []
+    earlier: list[np.ndarray] = []
+    for k in range(int(count.max(initial=0))):
+        c = (mix((path + np.uint64(k + 1)) * _MULT) >> np.uint64(64 - COORDINATES.bit_length() + 1)).astype(np.int64)
+        new = count > k
+        for e in earlier:
+            new &= c != e
+        earlier.append(c)
+        nodes.append(np.flatnonzero(new))
+        coords.append(c[new])
+    return (np.concatenate(nodes), np.concatenate(coords)) if nodes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _next(path: np.ndarray, coord: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix((path ^ (coord.astype(np.uint64) + np.uint64(1)) * _MULT) * np.uint64(0xBF58476D1CE4E5B9) + value) >> np.uint64(64 - PATH_BITS)
+
+
 def descend(sig: np.ndarray, owner: np.ndarray, path: np.ndarray, levels: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and paths `levels` further down; each node is followed by 1/similarity coordinates on average."""
-    seeds = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MULT)
-    below = np.uint64(int(2**64 / (similarity * COORDINATES)))
+    """Owners and paths `levels` further down; each node is followed by BRANCHING/similarity coordinates on average."""
     for _ in range(levels):
-        owners, paths = [], []
-        for lo in range(0, len(path), 1 << 14):
-            p, o = path[lo : lo + (1 << 14)], owner[lo : lo + (1 << 14)]
-            h = p[:, None] ^ seeds[None, :]
-            h *= _MULT
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-            node, c = np.nonzero(h < below)
-            owners.append(o[node])
-            paths.append(mix((p[node] ^ seeds[c]) * _MULT + sig[o[node], c]) >> np.uint64(64 - PATH_BITS))
-        owner, path = (np.concatenate(owners), np.concatenate(paths)) if owners else (owner[:0], path[:0])
+        node, c = _followed(path, similarity)
+        owner = owner[node]
+        path = _next(path[node], c, sig[owner, c])
     return owner, path
 
 
-def first_paths(sig: np.ndarray, runs: int = RUNS, levels: int = FIRST_LEVELS, similarity: float = SIMILARITY, done: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and paths of the runs from `done` on after the first descent, without repeats."""
+def first_paths(sig: np.ndarray, runs: int, levels: int = FIRST_LEVELS, similarity: float = SIMILARITY, done: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and paths of the runs from `done` on after the first descent. Nobody has parted at the roots."""
     n = len(sig)
     roots = mix((np.arange(done, runs, dtype=np.uint64) + np.uint64(77)) * _MULT)
-    return descend(sig, np.tile(np.arange(n), runs - done), np.repeat(roots, n), levels, similarity)
+    run, c = _followed(roots, similarity)
+    owner = np.tile(np.arange(n), len(run))
+    path = _next(np.repeat(roots[run], n), np.repeat(c, n), sig.T[c].ravel())
+    return descend(sig, owner, path, levels - 1, similarity)
 
 
-def runs_for(levels: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """Runs after which pairs of the least similarity have met `levels` down with the recall wanted; RUNS at least.
+def runs_for(levels: int, similarity: float = SIMILARITY, recall: float | None = None) -> int:
+    """Runs after which pairs of the least similarity have met `levels` down with the recall wanted (RECALL).
 
-    How many coordinates a pair has in common is binomial; each is followed with probability 1/(similarity * COORDINATES).
+    How many coordinates a pair has in common is binomial; each is followed with probability BRANCHING/(similarity * COORDINATES).
     """
     common = np.arange(COORDINATES + 1)
     weight = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in common])
     met = np.ones(COORDINATES + 1)
     for _ in range(levels):
-        met = 1 - (1 - met / (similarity * COORDINATES)) ** common
-    runs = RUNS
-    while levels > FIRST_LEVELS and weight @ (1 - met) ** runs > 1 - recall:
-        runs += 1
+        met = 1 - (1 - met * BRANCHING / (similarity * COORDINATES)) ** common
+    lost, runs = 1 - (RECALL if recall is None else recall), 1
+    while weight @ (1 - met) ** runs > lost:
+        runs *= 2
+    low = runs // 2
+    while runs - low > 1:
+        middle = (low + runs) // 2
+        low, runs = (low, middle) if weight @ (1 - met) ** middle <= lost else (middle, runs)
     return runs
 
 
@@ -163,7 +189,7 @@ def fingerprints(texts: DataFrame, key: str, column: str, least: int = LEAST) ->
     return stage(map_batches(source, "id string, code long, s1 long, s2 long, most byte, skeleton string", make), "fingerprints")
 
 
-def _walk(records: DataFrame, levels: int, runs: int = RUNS, done: int = 0) -> DataFrame:
+def _walk(records: DataFrame, levels: int, runs: int = 0, done: int = 0) -> DataFrame:
     """code, path of records (code, skeleton, and the paths reached so far, or none at the start of the runs from `done` on)."""
     further = "paths" in records.columns
 
@@ -183,8 +209,14 @@ def _walk(records: DataFrame, levels: int, runs: int = RUNS, done: int = 0) -> D
 
 
 def _buckets(paths: DataFrame) -> DataFrame:
-    """Stage table code, path, n of paths on which several records met; those that met nobody are settled."""
-    return stage(paths.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path"))).where("n > 1"), "buckets")
+    """Stage table code, path, n of paths on which several records met; those that met nobody are settled.
+
+    Paths are counted by an aggregation, whose partial counts leave a hot path one row a task, and joined back, where
+    AQE splits it.
+    """
+    walked = stage(paths, "paths")
+    met = walked.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(walked.join(met, "path").select("code", "path", "n"), "buckets")
 
 
 def _close(rows: DataFrame, prints: DataFrame) -> DataFrame:
@@ -213,17 +245,16 @@ def candidate_pairs(unique: DataFrame) -> DataFrame:
         found.append(_close(buckets.where(F.col("n") <= SMALL), sketch))
         return buckets.where(F.col("n") > SMALL)
 
-    def deeper(large: DataFrame) -> DataFrame:
-        reached = large.groupBy("code").agg(F.collect_list("path").alias("paths"))
-        return settle(_walk(texts.join(reached, "code").select("code", "skeleton", "paths"), MORE_LEVELS))
-
-    large, levels, runs = settle(_walk(texts, FIRST_LEVELS)), FIRST_LEVELS, RUNS
+    runs, levels = runs_for(FIRST_LEVELS), FIRST_LEVELS
+    large = settle(_walk(texts, FIRST_LEVELS, runs))
     while levels < MOST_LEVELS and not large.isEmpty():
-        more = runs_for(levels + MORE_LEVELS)
-        again = settle(_walk(texts.join(large.select("code").distinct(), "code", "left_semi"), FIRST_LEVELS, more, runs))
-        for _ in range(FIRST_LEVELS, levels, MORE_LEVELS):
-            again = deeper(again)
-        large, levels, runs = deeper(large.unionByName(again)), levels + MORE_LEVELS, more
+        # Whoever descends further gets more runs; those lead down to the new level at once.
+        levels += MORE_LEVELS
+        reached = large.groupBy("code").agg(F.collect_list("path").alias("paths"))
+        deeper = texts.join(reached, "code").select("code", "skeleton", "paths")
+        more = runs_for(levels)
+        again = _walk(deeper.select("code", "skeleton"), levels, more, runs)
+        large, runs = settle(_walk(deeper, MORE_LEVELS).unionByName(again)), more
     found.append(_close(large, sketch))
     return reduce(DataFrame.unionByName, found).distinct()
 

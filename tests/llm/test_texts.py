@@ -84,7 +84,19 @@ def test_near_duplicates_far_down(spark, monkeypatch):
     want = {(a, b) for a in kept for b in kept if a < b and 0.6 <= similarity(kept[a], kept[b]) < 0.65}
     got = {(r.id_a, r.id_b) for r in near.near_duplicate_pairs(texts(spark, rows), "id", "raw_text").collect()}
     assert len(want) > 300 and len(want & got) >= 0.95 * len(want)
-    assert [near.runs_for(levels) for levels in (3, 6, 9)] == sorted({near.runs_for(levels) for levels in (3, 6, 9)})
+    assert near.runs_for(3) < near.runs_for(4) < near.runs_for(8)
+
+
+def test_runs_reach_their_recall():
+    draw, pairs = np.random.default_rng(4), 3000
+    a = draw.integers(0, 2**63, (pairs, near.COORDINATES), np.uint64)
+    b = np.where(draw.random(a.shape) < near.SIMILARITY, a, draw.integers(0, 2**63, a.shape, np.uint64))
+    met = np.zeros(pairs, bool)
+    for done in range(0, near.runs_for(3), 10):
+        one, two = (near.first_paths(s, min(done + 10, near.runs_for(3)), done=done) for s in (a, b))
+        common = set(zip(*(x.tolist() for x in one))) & set(zip(*(x.tolist() for x in two)))
+        met[[o for o, _ in common]] = True
+    assert near.RECALL - 0.015 <= met.mean() <= 0.995
 
 
 def test_sketches_keep_similar_short_texts():

@@ -227,23 +227,26 @@ def posteriors(model: Model, size: np.ndarray, end: np.ndarray, kind: np.ndarray
     # Blanks are gaps only in texts none of whose marks ends a sentence.
     punctuated = np.bincount(text, ((kind == 4) | ((kind == 0) & (e > 0))).astype(float), n)[text] > 0
     e = np.where((kind == 2) & punctuated, -40.0, e)
-    emit, has, lc = np.zeros((n, most)), np.zeros((n, most), bool), np.zeros((n, most), int)
-    emit[text, col], has[text, col], lc[text, col] = e, True, cls
     t = model.chain()
-    odds = np.stack([np.clip(emit + t[p][lc], -50, 50) for p in (0, 1)])  # of a boundary, by the event before
-    forward, backward = np.zeros((most + 1, 2, n)), np.zeros((most + 1, 2, n))
-    forward[0, 0] = -1e9  # a text starts after a boundary
-    for k in range(most):
-        f = forward[k]
-        nxt = np.stack([np.logaddexp(f[0], f[1]), np.logaddexp(f[0] + odds[0, :, k], f[1] + odds[1, :, k])])
-        forward[k + 1] = np.where(has[:, k], nxt, f)
+    odds = [np.clip(e + t[p][cls], -50, 50) for p in (0, 1)]  # of a boundary, by the event before
+    # Step k handles the k-th gap of every text that has one, longest texts first: no text is padded to another's length.
+    order = np.argsort(-size, kind="stable")
+    first, alive = (np.cumsum(size) - size)[order], np.searchsorted(-size[order], -np.arange(most), "left")
+    forward, backward = np.empty((2, len(end))), np.empty((2, len(end)))
+    f0, f1 = np.full(n, -1e9), np.zeros(n)  # a text starts after a boundary
+    for k, m in enumerate(alive):
+        i, p0, p1 = first[:m] + k, f0[:m], f1[:m]
+        f0, f1 = np.logaddexp(p0, p1), np.logaddexp(p0 + odds[0][i], p1 + odds[1][i])
+        forward[0, i], forward[1, i] = f0, f1
+    g0, g1 = np.zeros(n), np.zeros(n)
     for k in range(most - 1, -1, -1):
-        g = backward[k + 1]
-        back = np.stack([np.logaddexp(g[0], g[1] + odds[p, :, k]) for p in (0, 1)])
-        backward[k] = np.where(has[:, k], back, g)
-    joint = forward[1:] + backward[1:]
-    post = np.exp(joint[:, 1] - np.logaddexp(joint[:, 0], joint[:, 1]))
-    return post[col, text], cls
+        m = alive[k]
+        i = first[:m] + k
+        p0, p1 = g0[:m].copy(), g1[:m].copy()
+        backward[0, i], backward[1, i] = p0, p1
+        g0[:m], g1[:m] = np.logaddexp(p0, p1 + odds[0][i]), np.logaddexp(p0, p1 + odds[1][i])
+    joint = forward + backward
+    return np.exp(joint[1] - np.logaddexp(joint[0], joint[1])), cls
 
 
 _LISTS = ("end", "kind", "mark", "left", "left_shape", "right", "right_shape", "begins", "continues")

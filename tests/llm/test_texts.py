@@ -257,6 +257,23 @@ def test_sentence_ends(spark):
     assert sentences.sentence_ends(df.limit(0)).count() == 0
 
 
+def test_posteriors_of_a_long_text_pad_no_other():
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    model = sentences.Model(*(draw.random((2, n)).astype(np.float32) for n in (sentences.WORDS, sentences.SHAPES, sentences.WORDS, sentences.SHAPES, sentences.MARKS, 2 * sentences.LENGTHS)))
+    size = np.array([3, 0, 50_000, *[5] * 2000])
+    n = int(size.sum())
+    gaps = [np.concatenate([np.arange(1, k + 1) * 20 for k in size]), draw.integers(0, 5, n), *(draw.integers(0, 64, n) for _ in range(5))]
+    tracemalloc.start()
+    post, cls = sentences.posteriors(model, size, *gaps)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    at = 3  # one text gives the same by itself
+    alone, _ = sentences.posteriors(model, size[2:3], *(g[at : at + 50_000] for g in gaps))
+    assert np.allclose(post[at : at + 50_000], alone, atol=1e-5) and ((0 <= post) & (post <= 1)).all()
+
+
 # Alignment
 
 

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.functions.stages import stage
+
 
 def numbered(df: DataFrame, group: list[str], order: list, name: str = "seq") -> DataFrame:
     """1, 2, ... within each group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def numbered_evenly(df: DataFrame, group: list[str], order: list[str], name: str = "seq") -> DataFrame:
+    """1, 2, ... within each group, however large one is: no task holds more than a range of its rows.
+
+    Rows are range-partitioned by group and order and counted where they stand; per range and group only the count goes
+    into a running sum. Rows equal in group and order are numbered in any order.
+    """
+    keys = [*group, *order]
+    placed = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    counts = placed.groupBy("_range", *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    names = [f"_g{i}" for i in range(len(group))]
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select("_range", *names, (earlier - F.col("_from") + 1).alias("_shift")).withColumnRenamed("_range", "_r")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)], F.col("_range") == F.col("_r"))
+    return placed.join(shifts, same).withColumn(name, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_r", "_shift", *names)
+
+
 def first_n(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group; the window's row_number limit is pushed below the shuffle by the optimizer."""
     return numbered(df, group, order, "_n").where(F.col("_n") <= n).drop("_n")

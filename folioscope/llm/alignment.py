@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions.stages import stage
 from folioscope.operators.windows import numbered_evenly
-from folioscope.llm.arrow import map_batches, mix
+from folioscope.llm.arrow import collected, map_batches, mix
 from folioscope.llm.sentences import Model, _flat, _tidy, estimate, gap_table, posteriors
 
 #: Word codes and slots of the translation table (both hashed, so that their size is fixed); rounds of estimation.
@@ -78,13 +78,12 @@ def words_of(sentence: str, zh: bool) -> tuple[list[int], list[int]]:
     return list(dict.fromkeys(anchors)), list(dict.fromkeys(words))
 
 
-def sentence_table(texts: DataFrame, model: Model, second: str = "zh") -> DataFrame:
-    """Stage table id, end_char, session, zh (of the second language), anchors, words of the sentences of id, session_id, language, raw_text.
+def sentence_table(gaps: DataFrame, model: Model, second: str = "zh") -> DataFrame:
+    """Stage table id, end_char, session, zh (of the second language), anchors, words of the sentences of texts.
 
-    Each (id, session_id) is expected once.
+    gaps has a text's gaps with id, session_id, language, text; each (id, session_id) is expected once.
     """
-    gaps = gap_table(texts, "id", "raw_text", "language", ("session_id", "raw_text", "language"))
-    shipped = texts.sparkSession.sparkContext.broadcast(model)
+    shipped = gaps.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def step(b: pa.RecordBatch):
@@ -92,7 +91,7 @@ def sentence_table(texts: DataFrame, model: Model, second: str = "zh") -> DataFr
             keep = posteriors(shipped.value, size, end, *rest)[0] >= 0.5
             owner, ends, anchors, words, at = [], [], [], [], 0
             na, nw = [0], [0]
-            for k, (text, lang, n) in enumerate(zip(b.column("raw_text").to_pylist(), b.column("language").to_pylist(), size.tolist())):
+            for k, (text, lang, n) in enumerate(zip(b.column("text").to_pylist(), b.column("language").to_pylist(), size.tolist())):
                 last, han = 0, lang == "zh"
                 for e in end[at : at + n][keep[at : at + n]].tolist():
                     a, w = words_of(text[last:e], han)
@@ -179,12 +178,11 @@ def translation_table(seeds: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
                 at = np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["kind", "slot", "n"])
 
-        got = seeds.mapInArrow(expect, "kind int, slot int, n double").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-        shipped.unpersist()
-        counts, mass = np.zeros(TABLE, np.float32), np.zeros(WORDS, np.float32)
-        counts[got.slot[got.kind == 0]] = got.n[got.kind == 0]
-        mass[got.slot[got.kind == 1]] = got.n[got.kind == 1]
-        model = (counts, mass)
+        got = collected(seeds.mapInArrow(expect, "kind int, slot int, n double").groupBy("kind", "slot").agg(F.sum("n").alias("n")))
+        shipped.destroy()
+        model = (np.zeros(TABLE, np.float32), np.zeros(WORDS, np.float32))
+        for kind, x in enumerate(model):
+            x[got["slot"][got["kind"] == kind]] = got["n"][got["kind"] == kind]
     norm = context.broadcast(model)
 
     def entries(batches):
@@ -199,9 +197,10 @@ def translation_table(seeds: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     often = seeds.select(F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("m")).where(f"m >= {SEEN}")
     held = seeds.select(F.explode("z").alias("z")).groupBy("z").agg(F.count("*").alias("nz"))
     n = n.join(held, "z").where(F.col("n") >= EXPLAINED * F.col("nz"))
-    best = n.groupBy("f").agg(F.max(F.struct("n", "z")).alias("b")).join(often, "f").where(F.col("b.n") >= LIKELY * F.col("m")).select("f", F.col("b.z").alias("z")).toPandas()
-    to = np.full(WORDS, -1, np.int32)
-    to[best.f.to_numpy()] = best.z.to_numpy()
+    best = n.groupBy("f").agg(F.max(F.struct("n", "z")).alias("b")).join(often, "f").where(F.col("b.n") >= LIKELY * F.col("m")).select("f", F.col("b.z").alias("z"))
+    to, got = np.full(WORDS, -1, np.int32), collected(best)
+    to[got["f"]] = got["z"]
+    norm.destroy()
     return to
 
 
@@ -245,10 +244,9 @@ def lexemes(sentences: DataFrame, lexicon: np.ndarray) -> DataFrame:
 def weights_of(lex: DataFrame) -> np.ndarray:
     """Weight by code of each lexeme that both languages use, log of its rarity; 0 of others. 2 * WORDS numbers."""
     n = lex.count()
-    both = lex.select("zh", F.explode("lex").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.count_if("zh").alias("nz")).where("nz > 0 and nz < n").select("x", "n").toPandas()
-    out = np.zeros(2 * WORDS, np.float32)
-    if len(both):
-        out[both.x.to_numpy()] = np.rint((np.log(n / both.n.to_numpy()) + 0.1) * 1024) / 1024  # sums of them are exact
+    both = lex.select("zh", F.explode("lex").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.count_if("zh").alias("nz")).where("nz > 0 and nz < n").select("x", "n")
+    out, got = np.zeros(2 * WORDS, np.float32), collected(both)
+    out[got["x"]] = np.rint((np.log(n / got["n"]) + 0.1) * 1024) / 1024  # sums of them are exact
     return out
 
 
@@ -460,12 +458,12 @@ def aligned(passages: DataFrame, languages: tuple[str, str] = ("fr", "zh"), orig
     Without sentences that share names or numbers there is no translation table and no pair.
     """
     plain = passages.where("text_role is null or text_role <> 'edition'")
-    model = estimate(gap_table(plain, "id", "raw_text", "language"))  # on the same texts as problem 6: sentences end where its do
-    texts = plain.where(F.col("language").isin(*languages) & F.col("session_id").isNotNull())
-    both = texts.groupBy("session_id").agg(F.min("language").alias("a"), F.max("language").alias("b")).where("a <> b").select("session_id")
-    # Deliveries of one passage name one session: the shuffle by session serves the filter and their removal.
-    once = texts.select("id", "session_id", "language", "raw_text").join(both, "session_id", "left_semi").dropDuplicates(["session_id", "id"])
-    sentences = sentence_table(once, model, languages[1])
+    spoken = plain.where(F.col("language").isin(*languages) & F.col("session_id").isNotNull())
+    both = spoken.groupBy("session_id").agg(F.min("language").alias("a"), F.max("language").alias("b")).where("a <> b").select("session_id", F.lit(True).alias("both"))
+    # The sentence model sees the texts of problem 6, so that sentences end where its do; only texts to be aligned are carried along.
+    text = F.when(F.col("both") & F.col("language").isin(*languages), F.col("raw_text"))
+    gaps = gap_table(plain.select("id", "session_id", "language", "raw_text").join(both, "session_id", "left").withColumn("text", text), "id", "raw_text", "language", ("session_id", "text", "language"))
+    sentences = sentence_table(gaps.where("text is not null").drop("begins", "continues").dropDuplicates(["session_id", "id"]), estimate(gaps), languages[1])
     lex = lexemes(sentences, translation_table(seed_pairs(sentences)))
     weights = weights_of(lex)
     large = stage(lex.groupBy("session").count().where(F.col("count") > LOCAL).select("session"), "large")

@@ -23,6 +23,12 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a result of bounded size, without a Python object per row."""
+    t = df.toArrow()
+    return {c: t[c].to_numpy() for c in t.column_names}
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, and the offset of each text (one more than texts)."""
     offsets = np.zeros(len(texts) + 1, np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.stages import stage
-from folioscope.llm.arrow import map_batches
+from folioscope.llm.arrow import collected, map_batches
 from folioscope.llm.lookalike import CONFUSABLE
 
 #: Hashed words, shapes, mark classes and length classes of the model: its size does not grow with the corpus.
@@ -280,8 +280,8 @@ def gap_table(texts: DataFrame, key: str, column: str, language: str, carry: tup
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     size = pc.list_value_length(b.column("end")).to_numpy(zero_copy_only=False)
-    cols = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in _LISTS]
-    return size, cols[:7], cols[7], cols[8]
+    cols = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in _LISTS if c in b.schema.names]
+    return size, cols[:7], *(cols[7:] or (None, None))
 
 
 def estimate(gaps: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -315,10 +315,10 @@ def estimate(gaps: DataFrame, rounds: int = ROUNDS) -> Model:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
-        rows = gaps.select(*_LISTS).mapInArrow(count, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        shipped.unpersist()
+        got = collected(gaps.select(*_LISTS).mapInArrow(count, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")))
+        shipped.destroy()
         flat = np.zeros(starts[-1], np.float32)
-        flat[rows.slot.to_numpy()] = rows.n.to_numpy()
+        flat[got["slot"]] = got["n"]
         model = Model(*(flat[a:b].reshape(2, -1) for a, b in zip(starts, starts[1:])))
     return model
 

@@ -363,6 +363,45 @@ def test_all_alike_sentences_share_a_key():
     assert alike > 50
 
 
+def test_sessions_are_linked_alike_in_tasks_and_by_rounds(spark):
+    rng = random.Random(8)
+    w = np.zeros(2 * alignment.WORDS, np.float32)
+    w[:80] = [round(rng.uniform(0.3, 9) * 1024) / 1024 for _ in range(80)]
+    rows = []
+    for s in range(30):
+        for k in range(rng.randrange(1, 16)):
+            lex = rng.sample(range(80), rng.randint(1, 9))
+            rows.append((f"s{s}", f"f{k:02}", 10, False, lex))
+            for part in range(rng.randrange(3)):
+                rows.append((f"s{s}", f"z{k:02}", 10 + part, True, [x for x in lex if rng.random() < 0.7] or lex))
+    lex = spark.createDataFrame(rows, "session string, id string, end_char int, zh boolean, lex array<int>").selectExpr("xxhash64(session, id, end_char) AS u", "*")
+    said = [sorted(map(tuple, alignment.linked_in_tasks(lex.repartition(n), w).collect())) for n in (2, 16)]
+    assert said[0] == said[1] == sorted(map(tuple, alignment.linked_by_rounds(lex, w).collect())) and len(said[0]) > 150
+
+
+def test_equal_sentences_are_linked_in_few_rounds(spark, monkeypatch):
+    stages, real = [], alignment.stage
+    monkeypatch.setattr(alignment, "stage", lambda df, name: (stages.append(name), real(df, name))[1])
+    n = 60
+    pairs = spark.range(n * n).selectExpr(f"id DIV {n} AS fu", f"id % {n} AS zu", "1D AS common", "1D AS wf", "1D AS wz", "xxhash64(id) AS tie")
+    taken = alignment.link(pairs).collect()
+    assert len(taken) == n == len({r.fu for r in taken}) == len({r.zu for r in taken}) and stages.count("linked") <= 12
+
+
+def test_seeds_of_a_frequent_name_keep_to_the_order(spark):
+    rows = [("s", f"{k:03}{'z' if zh else 'f'}", 5, zh, [1 << 20, (1 << 20) + 1], [k]) for k in range(40) for zh in (False, True)] + [("s", "999f", 5, False, [1 << 20, (1 << 20) + 1], [999])]
+    got = [(r.f[0], r.z[0]) for r in alignment.seed_pairs(spark.createDataFrame(rows, "session string, id string, end_char int, zh boolean, anchors array<int>, words array<int>")).collect()]
+    assert len(got) == 41 and max(abs(f - z) for f, z in got if f < 999) <= 1
+
+
+def test_translations_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [([rng.randrange(200) for _ in range(8)], [300 + rng.randrange(200) for _ in range(8)]) for _ in range(300)] + [([k % 50, rng.randrange(200)], [300 + k % 50, 300 + rng.randrange(200)]) for k in range(600)]
+    seeds = spark.createDataFrame(rows, "f array<int>, z array<int>")
+    one, two = (alignment.translation_table(seeds.repartition(n)) for n in (2, 16))
+    assert (one == two).all() and (one >= 0).sum() > 20
+
+
 def test_alignment_estimates_sentences_on_all_texts(spark, monkeypatch):
     seen, real = set(), alignment.estimate
 

@@ -329,6 +329,37 @@ def test_abuse(spark):
     assert abuse.score_documents(docs.limit(0), marks).count() == 0
 
 
+def test_rates_count_every_row(spark):
+    scored = spark.createDataFrame([(1, "a", True), (1, "a", False), (None, "a", False), (2, None, True)], "doc_id long, source string, found boolean")
+    assert sorted((r.source or "", r.documents, r.n_found) for r in abuse.rates(scored).collect()) == [("", 1, 1), ("a", 3, 1)]
+
+
+def test_segments_in_linear_time():
+    import time
+
+    took = []
+    for n in (40_000, 160_000):
+        s = np.where(np.arange(n) % 2, -2.0, 1.0)  # every segment stands alone, none lower than the last
+        start = time.process_time()
+        assert len(abuse.maximal_segments(s)) == n // 2
+        up = np.where(np.arange(n) % 2, -1.0, 1.5)[::-1]
+        abuse.maximal_segments(up)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * max(took[0], 0.02)
+
+
+def test_masked_words():
+    lexicon = {("c", 6): ["cretin", "catins"], ("c", 5): ["chien"]}
+    assert [abuse._unmask(w, lexicon, {}) for w in ("cr*tin", "c*t*ns", "ch**n", "z*z", "cr**")] == ["cretin", "catins", "chien", "z*z", "cr**"]
+
+
+def maximal(s, lo, hi):
+    """The best segment, then those to its left and right."""
+    sums = [(s[a:b].sum(), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+    top, i, j = max(sums, key=lambda x: (x[0], x[1] - x[2]), default=(0, 0, 0))
+    return [*maximal(s, lo, i), (i, j), *maximal(s, j, hi)] if top > 0 else []
+
+
 def test_segments_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -339,6 +370,7 @@ def test_segments_against_brute_force():
         parts = abuse.maximal_segments(s)
         assert all(b <= c for (_, _, b), (_, c, _) in zip(sorted(parts, key=lambda x: x[1]), sorted(parts, key=lambda x: x[1])[1:]))
         assert not parts or abs(max(x for x, _, _ in parts) - want) < 1e-9
+        assert sorted((i, j) for _, i, j in parts) == sorted(maximal(s, 0, len(s)))
 
 
 def test_all_alike_sentences_share_a_key():

@@ -1,7 +1,8 @@
 """Mixing sources to target weights (problem 9).
 
 Token ids are packed into fixed-length blocks. Every output shard draws its counts of slots per source; a slot's
-ordinal is mapped through its source's pseudorandom index permutation, and blocks join the slots by index.
+ordinal is mapped through its source's pseudorandom index permutation, and blocks join the slots by index. The shards
+are split among sources down a binary tree of seeded draws, so that each task draws its own shards by itself.
 """
 
 from __future__ import annotations
@@ -21,18 +22,22 @@ from folioscope.llm.transducer import encode_corpus
 
 #: Tokens of a block, slots of a shard, documents packed together, seed.
 BLOCK, SHARD, PACK, SEED = 256, 1024, 4096, 42
+#: Shards that a task draws at once; counts under which the library draws hypergeometric numbers.
+SHARDS, EXACT = 256, 500_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pack(tokens: DataFrame, block: int = BLOCK, per_pack: int = PACK) -> DataFrame:
+def pack(tokens: DataFrame, docs: dict[str, int], block: int = BLOCK, per_pack: int = PACK) -> DataFrame:
     """Stage table source, block (0, 1, ... per source), tokens, n of (doc_id, source, ids).
 
     Documents are spread by hash over packs of about per_pack, each cut into blocks by itself (its last may be short),
-    so that a source of any size is packed in parallel; documents without tokens fill nothing.
+    so that a source of any size is packed in parallel; documents without tokens fill nothing. docs tells about how many
+    documents each source has.
     """
-    sized = tokens.where(F.size("ids") > 0)
-    packs = sized.groupBy("source").agg(F.count("*").alias("docs")).select("source", F.ceil(F.col("docs") / per_pack).alias("packs"))
-    placed = sized.join(F.broadcast(packs), "source").withColumn("pack", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("packs")))
+    packs = F.lit(1)
+    for source, n in sorted(docs.items()):
+        packs = F.when(F.col("source") == source, max(1, math.ceil(n / per_pack))).otherwise(packs)
+    placed = tokens.where(F.size("ids") > 0).withColumn("pack", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), packs.cast("long")))
     per = Window.partitionBy("source", "pack").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "ids")
     placed = placed.withColumn("end", F.sum(F.size("ids")).over(per.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.size("ids"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
@@ -66,17 +71,46 @@ def plan(supply: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
     return t
 
 
-def draw_shards(slots: np.ndarray, shard: int = SHARD, seed: int = SEED) -> np.ndarray:
-    """Counts of slots per shard and source. Each shard's counts are multinomial given what is left to draw.
-
-    Drawing without replacement keeps the totals, and so the shares and the repeats, exact.
+def _share_out(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among n drawn without replacement; where the library's draw ends, by its normal law."""
+    out, left = np.zeros_like(counts), int(counts.sum())
+    for k, c in enumerate(counts.tolist()):
+        left -= c
+        least, most = max(0, n - left), min(c, n)
+        if least == most:
+            x = least
+        elif max(c, left) < EXACT:
+            x = int(rng.hypergeometric(c, left, n))
+        else:
+            whole = c + left
+            spread = math.sqrt(n * (c / whole) * (left / whole) * ((whole - n) / max(whole - 1, 1)))
+            x = min(most, max(least, round(n * (c / whole) + spread * rng.standard_normal())))
+        out[k] = x
+        n -= x
+    return out
+
+
+def draw_shards(slots: np.ndarray, first: int, last: int, shard: int = SHARD, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of slots per shard and source, of the shards from first to before last, and how many come before them.
+
+    Each shard's counts are multinomial given what is left to draw: drawing without replacement keeps the totals, and so
+    the shares and the repeats, exact. A node of the tree splits its slots among its halves by a draw of its own seed,
+    so that any range of shards is drawn in time of its length and the tree's depth, the same by every task.
     """
-    rng, left, out = np.random.default_rng(seed), slots.copy(), []
-    while left.sum() > 0:
-        got = rng.multivariate_hypergeometric(left, min(shard, left.sum()), method="marginals")
-        out.append(got)
-        left = left - got
-    return np.array(out, np.int64).reshape(len(out), len(slots))
+    total = int(slots.sum())
+    counts, starts = np.zeros((last - first, len(slots)), np.int64), np.zeros((last - first, len(slots)), np.int64)
+    nodes = [(0, -(-total // shard), slots.astype(np.int64), np.zeros(len(slots), np.int64))]
+    while nodes:
+        lo, hi, own, before = nodes.pop()
+        if hi <= first or lo >= last or lo >= hi:
+            continue
+        if hi - lo == 1:
+            counts[lo - first], starts[lo - first] = own, before
+            continue
+        middle = (lo + hi) // 2
+        left = _share_out(own, (middle - lo) * shard, np.random.default_rng([seed, lo, hi]))
+        nodes += [(lo, middle, left, before), (middle, hi, own - left, before + left)]
+    return counts, starts
 
 
 def permute(ordinal: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -95,27 +129,29 @@ def permute(ordinal: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def slots_of(spark, planned: pd.DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """shard, source, ordinal's repeat and block of every output slot. The driver holds a row per shard and source."""
+    """shard, source, ordinal's repeat and block of every output slot. The driver holds a row per source only."""
     p = planned.reset_index(drop=True)
-    counts = draw_shards(p.slots.to_numpy(np.int64), shard, seed)
-    if not len(counts):
-        return spark.createDataFrame([], "shard long, source string, repeat int, block long")
-    starts = np.cumsum(counts, 0) - counts
-    s, k = np.nonzero(counts)
-    drawn = pd.DataFrame({"shard": s, "source": p.source.to_numpy()[k], "start": starts[s, k], "n": counts[s, k], "blocks": p.blocks.to_numpy()[k], "code": k})
+    slots, sources, size = p.slots.to_numpy(np.int64), p.source.tolist(), p.blocks.to_numpy(np.int64)
+    shards = -(-int(slots.sum()) // shard)
 
     def expand(batches):
-        for b in batches:
-            d = b.to_pandas()
-            count = d.n.to_numpy()
-            at = np.repeat(np.arange(len(d)), count)
-            ordinal = d.start.to_numpy()[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            n = d.blocks.to_numpy()[at]
-            repeat = ordinal // n
-            key = mix(((repeat.astype(np.uint64) << np.uint64(20)) + d.code.to_numpy()[at].astype(np.uint64) + np.uint64(seed)) * _MULT)
-            yield pa.RecordBatch.from_pydict({"shard": d["shard"].to_numpy()[at], "source": pa.array(d.source.to_numpy()[at], pa.string()), "repeat": pa.array(repeat, pa.int32()), "block": permute(ordinal % n, n, key)})
-
-    return spark.createDataFrame(drawn, "shard long, source string, start long, n long, blocks long, code long").mapInArrow(expand, "shard long, source string, repeat int, block long")
+        for batch in batches:
+            runs = batch.column(0).to_numpy()
+            for run in runs.tolist():
+                first, last = run * SHARDS, min(shards, (run + 1) * SHARDS)
+                counts, starts = draw_shards(slots, first, last, shard, seed)
+                s, k = np.nonzero(counts)
+                count = counts[s, k]
+                at = np.repeat(np.arange(len(s)), count)
+                ordinal = starts[s, k][at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                code = k[at]
+                n = size[code]
+                repeat = ordinal // n
+                key = mix(((repeat.astype(np.uint64) << np.uint64(20)) + code.astype(np.uint64) + np.uint64(seed)) * _MULT)
+                names = pa.array(sources, pa.string()).take(pa.array(code))
+                yield pa.RecordBatch.from_pydict({"shard": s[at] + first, "source": names, "repeat": pa.array(repeat, pa.int32()), "block": permute(ordinal % n, n, key)})
+
+    return spark.range(-(-shards // SHARDS)).mapInArrow(expand, "shard long, source string, repeat int, block long")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", column: str = "text", block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, pd.DataFrame]:
@@ -127,22 +163,14 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", colum
     small table.
     """
     spark = documents.sparkSession
-    wanted = documents.select(F.col(key).alias("doc_id"), F.col("source"), F.col(column).alias("text")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    ids = encode_keeping(wanted)
-    blocks = stage(pack(ids, block), "blocks")
+    wanted = documents.select(F.col(key).alias("doc_id"), F.col("source"), F.col(column).alias("text")).join(targets.select("source").distinct(), "source", "left_semi")
+    docs = {r.source: r.n for r in wanted.where("text <> ''").groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row per targeted source
+    blocks = stage(pack(encode_corpus(wanted, "doc_id", "text", carry=("source",)), docs, block), "blocks")
     supply = blocks.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n").alias("tokens")).toPandas()
     planned = plan(supply, targets.select("source", "target_share", "max_repeats").toPandas())
     return slots_of(spark, planned, shard, seed).join(blocks, ["source", "block"]).select("shard", "source", "repeat", "block", "tokens", "n"), planned
 
 
-def encode_keeping(df: DataFrame) -> DataFrame:
-    """doc_id, source, ids: the source rides along as the key of the encoder."""
-    packed = df.select(F.struct("doc_id", "source").alias("k"), "text")
-    flat = packed.select(F.to_json("k").alias("k"), "text")
-    ids = encode_corpus(flat, "k", "text")
-    return ids.select(F.from_json("k", "doc_id long, source string").alias("k"), "ids").select("k.doc_id", "k.source", "ids")
-
-
 def mixture_report(mixed: DataFrame, planned: pd.DataFrame) -> DataFrame:
     """source, target_share, share, tokens, blocks, most_repeats, max_repeats of the mixture."""
     spark = mixed.sparkSession

@@ -158,7 +158,8 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for null and empty ones."""
         out: list[int] = []
-        for w in _split().findall(text or ""):
+        for m in _split().finditer(text or ""):
+            w = m[0]
             out += self.word(w.encode()) if len(w) < 256 else self.encode_bytes(w.encode())
         return out
 
@@ -194,8 +195,8 @@ def _ship(df: DataFrame, name: str, folder: str):
     return df.sparkSession.sparkContext.broadcast((m.tokens, m.left, m.right))
 
 
-def encode_corpus(df: DataFrame, key: str, column: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """key and ids (array<int>) of every row, without special tokens.
+def encode_corpus(df: DataFrame, key: str, column: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key and ids (array<int>) of every row, without special tokens, and columns carried along.
 
     Null and empty texts have an empty list; null keys and repeated rows stay as they are; texts of any length are
     encoded whole; an empty table stays empty; other columns are not read. One narrow pass, no shuffle.
@@ -207,16 +208,20 @@ def encode_corpus(df: DataFrame, key: str, column: str, name: str = "byte_bpe_50
 
         def step(b: pa.RecordBatch):
             ids = [t.encode(x) for x in b.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), *b.columns[2:]], ["key", "ids", *carry])
 
         return step
 
-    kind = dict(df.dtypes)[key]
-    return map_batches(df.select(key, column), f"key {kind}, ids array<int>", make).withColumnRenamed("key", key)
+    return map_batches(df.select(key, column, *carry), _schema(df, key, "ids array<int>", carry), make).withColumnRenamed("key", key)
 
 
-def round_trip(df: DataFrame, key: str, column: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """key, n_tokens and whether the decoded ids give the text back (null counts as empty)."""
+def _schema(df: DataFrame, key: str, results: str, carry: tuple[str, ...]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([f"key {kinds[key]}", results, *(f"`{c}` {kinds[c]}" for c in carry)])
+
+
+def round_trip(df: DataFrame, key: str, column: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_tokens and whether the decoded ids give the text back (null counts as empty), and columns carried along."""
     data = _ship(df, name, folder)
 
     def make():
@@ -227,14 +232,13 @@ def round_trip(df: DataFrame, key: str, column: str, name: str = "byte_bpe_50k",
             texts = b.column(1).to_pylist()
             ids = [t.encode(x) for x in texts]
             same = [decode(i, m) == (x or "") for i, x in zip(ids, texts)]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(i) for i in ids], np.int32)), pa.array(same, pa.bool_())], ["key", "n_tokens", "same"])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(i) for i in ids], np.int32)), pa.array(same, pa.bool_()), *b.columns[2:]], ["key", "n_tokens", "same", *carry])
 
         return step
 
-    kind = dict(df.dtypes)[key]
-    return map_batches(df.select(key, column), f"key {kind}, n_tokens int, same boolean", make).withColumnRenamed("key", key)
+    return map_batches(df.select(key, column, *carry), _schema(df, key, "n_tokens int, same boolean", carry), make).withColumnRenamed("key", key)
 
 
 def token_totals(df: DataFrame, by: str, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Tokens and round trips per group."""
-    return df.select(key, by).join(round_trip(df, key, column), key).groupBy(by).agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("same").cast("long")).alias("restored"))
+    """Documents, tokens and round trips per group; every row counts, whatever its key."""
+    return round_trip(df, key, column, carry=(by,)).groupBy(by).agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("same").cast("long")).alias("restored"))

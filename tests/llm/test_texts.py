@@ -180,10 +180,29 @@ def test_mixture(spark):
 
 def test_packing_keeps_every_token(spark):
     ids = spark.createDataFrame([(i, "s", list(range(i % 50))) for i in range(200)], "doc_id long, source string, ids array<int>")
-    blocks = mixing.pack(ids, 16, 64).collect()
+    blocks = mixing.pack(ids, {"s": 196}, 16, 64).collect()
     assert sum(r.n for r in blocks) == sum(i % 50 for i in range(200)) and sorted(r.block for r in blocks) == list(range(len(blocks))) and max(r.n for r in blocks) == 16
 
 
+def test_shards_are_drawn_alike_by_every_task():
+    slots = np.array([5000, 130, 0, 20_017])
+    counts, starts = mixing.draw_shards(slots, 0, 393, 64)
+    assert (counts.sum(0) == slots).all() and (counts[:-1].sum(1) == 64).all() and (starts == np.cumsum(counts, 0) - counts).all()
+    for first, last in ((0, 1), (100, 200), (392, 393)):
+        part, before = mixing.draw_shards(slots, first, last, 64)
+        assert (part == counts[first:last]).all() and (before == starts[first:last]).all()
+    spread = counts[:-1, 0].std() / np.sqrt(64 * 0.2 * 0.8)
+    assert 0.8 < spread < 1.2  # as draws spread, not in equal parts
+    huge = np.array([6_000_000_000, 3_999_999_000, 1000])
+    some, _ = mixing.draw_shards(huge, 5_000_000, 5_000_003, 1024)
+    assert (some.sum(1) == 1024).all() and abs(some[:, 0].mean() - 614) < 80
+
+
+def test_token_totals_count_every_row(spark):
+    df = spark.createDataFrame([(1, "déjà", "a"), (1, "vu", "a"), (None, "", None)], "doc_id long, text string, source string")
+    assert sorted((r.source or "", r.documents, r.restored) for r in transducer.token_totals(df, "source").collect()) == [("", 1, 1), ("a", 2, 2)]
+
+
 def test_permutation():
     for n in (1, 2, 7, 100, 1000):
         x = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 99, np.uint64))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -129,6 +130,7 @@ class Resolver:
         if owners:
             self.automaton.make_automaton()
         self.near, self.packed = Nearest(self.surface), Nearest(orders)
+        self.sorted = sorted(self.surface)
         self.resolve = lru_cache(1 << 16)(self._resolve)
 
     def _resolve(self, words: tuple[str, ...]) -> str:
@@ -150,13 +152,20 @@ class Resolver:
             return best.pop() if len(best) == 1 else ""
         return self._by_tokens(words)
 
+    def _begun(self, start: str) -> Iterator[str]:
+        """The listed words that begin so and go on."""
+        for k in range(bisect_right(self.sorted, start), len(self.sorted)):
+            if not self.sorted[k].startswith(start):
+                return
+            yield self.sorted[k]
+
     def _by_tokens(self, words: tuple[str, ...]) -> str:
         readings: list[list[tuple[int, str]]] = []
         for i, w in enumerate(words):
             d, near = (0, {w}) if stem(w) in self.by_word else self.near(w)
             found = [(d, stem(x)) for x in near]
             if d and CUT_FROM <= len(w) and (i == len(words) - 1 or not near):
-                found += [(1, y) for x, y in self.surface.items() if len(x) > len(w) and x.startswith(w)]
+                found += [(1, self.surface[x]) for x in self._begun(w)]
             readings.append(found)
         score: dict[str, int] = {}
         at_word: dict[str, tuple[int, int]] = {}
@@ -193,8 +202,8 @@ def list_names(spec: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
     return sorted(names), sorted({x for r in rows for x in r.context_required_aliases or () if x and x.strip()})
 
 
-def map_values(entries: DataFrame, spec: DataFrame, key: str = "entry_id", value: str = "entered") -> DataFrame:
-    """entry_id, entity_id of every row; '' where no entity is meant, and for null and blank values.
+def map_values(entries: DataFrame, spec: DataFrame, key: str = "entry_id", value: str = "entered", carry: tuple[str, ...] = ()) -> DataFrame:
+    """entry_id, entity_id of every row, and columns carried along; '' where no entity is meant, and for null and blank values.
 
     Two entities equally near are no decision (''). Names shared by two entities decide nothing, nor do aliases that
     need context; an empty list maps everything to ''. Repeated rows are mapped alike; the list is checked to be small
@@ -210,14 +219,15 @@ def map_values(entries: DataFrame, spec: DataFrame, key: str = "entry_id", value
 
         def step(b: pa.RecordBatch):
             out = [resolver.resolve(tuple(fold(form(t)))) if t else "" for t in b.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["entry_id", "entity_id"])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), *b.columns[2:]], ["entry_id", "entity_id", *carry])
 
         return step
 
-    return map_batches(entries.select(key, value), f"entry_id {dict(entries.dtypes)[key]}, entity_id string", make)
+    kinds = dict(entries.dtypes)
+    carried = [F.col(c).alias(f"_{c}") for c in carry]  # a value may be carried, too
+    return map_batches(entries.select(key, value, *carried), ", ".join([f"entry_id {kinds[key]}, entity_id string", *(f"`{c}` {kinds[c]}" for c in carry)]), make)
 
 
-def unmatched_report(entries: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Values without an entity and how often they were entered."""
-    rows = entries.join(mapped.where("entity_id = ''"), "entry_id")
-    return rows.groupBy("entered").agg(F.count("*").alias("n"))
+def unmatched_report(mapped: DataFrame, value: str = "entered") -> DataFrame:
+    """Values without an entity and how often they were entered; mapped carries the values."""
+    return mapped.where("entity_id = ''").groupBy(value).agg(F.count("*").alias("n"))

@@ -16,9 +16,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.stages import stage
 from folioscope.llm.arrow import code_points, map_batches
 
 # Letters of other scripts that look like Latin ones.
@@ -66,6 +68,33 @@ def symbol_counts(texts: DataFrame, column: str) -> dict[str, int]:
     return {r.symbol: r.n for r in counted.collect()}
 
 
+def confusables(spark: SparkSession, symbols: set[str]) -> list[tuple[str, str]]:
+    """Letters and digits beyond ASCII and the ASCII ones they look like, by Unicode's table of confusable characters.
+
+    The table comes with the session's JVM (its collation library). Two characters with one skeleton look alike; of several
+    ASCII ones that share it (l, I and 1) the one of like case or kind is meant. Sessions without a JVM keep to CONFUSABLE.
+    """
+    wanted = sorted(s for s in symbols if len(s) == 1 and not s.isascii() and s.isalnum() and not "⺀" <= s <= "鿿")
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
+    if not wanted or jvm is None:
+        return []
+    try:
+        checker = getattr(jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        skeleton = checker.getSkeleton
+        alike: dict[str, list[str]] = {}
+        for c in map(chr, range(33, 127)):
+            if c.isalnum():
+                alike.setdefault(skeleton(c), []).append(c)
+        pairs = []
+        for s in wanted:
+            kind = lambda c, s=s: (c.isdigit() == s.isdigit(), c.isupper() == s.isupper())
+            if found := alike.get(skeleton(s)):
+                pairs.append((s, max(found, key=lambda c: (kind(c), c))))
+        return pairs
+    except (TypeError, Py4JError):  # another build of the JVM side
+        return []
+
+
 def relations(symbols: set[str]) -> list[tuple[str, str]]:
     """Pairs of strings that look the same, for the symbols of a corpus."""
     pairs = []
@@ -135,7 +164,7 @@ def rewriter(classes: dict[str, str]) -> Callable[[str], str]:
 def corpus_classes(texts: DataFrame, column: str) -> dict[str, str]:
     """The look-alike classes of a corpus; null texts count nothing."""
     counts = symbol_counts(texts, column)
-    return look_alike_classes(relations(set(counts)), counts)
+    return look_alike_classes(relations(set(counts)) + confusables(texts.sparkSession, set(counts)), counts)
 
 
 _ALNUM: np.ndarray | None = None
@@ -173,13 +202,8 @@ def consistent(texts: DataFrame, key: str, column: str, out: str = "form") -> Da
     return map_batches(texts.select(key, column), f"key {kind}, `{out}` string", make).withColumnRenamed("key", key)
 
 
-def look_alike_pairs(texts: DataFrame, key: str, column: str, least: int = LEAST) -> DataFrame:
-    """id_a < id_b of texts that differ in code points and agree in the consistent form.
-
-    Null and empty texts and those under `least` letters and digits are in no pair; rows repeated under one key count
-    once; exact copies are no pair with each other, but each is one with every disguise. Only 128-bit fingerprints
-    are shuffled; a form is joined with itself only where it has two different texts, so that copies alone cost nothing.
-    """
+def prints(texts: DataFrame, key: str, column: str, least: int = LEAST) -> DataFrame:
+    """id, form (128-bit print of the consistent form), raw (64-bit one of the text) of every text that counts."""
     classes = corpus_classes(texts, column)
 
     def make():
@@ -191,14 +215,37 @@ def look_alike_pairs(texts: DataFrame, key: str, column: str, least: int = LEAST
                 return None
             forms = [form(t) for _, t in rows]
             keep = np.flatnonzero(count_alnum(forms) >= least)
-            prints = [xxhash.xxh3_128_digest(forms[k].encode("utf-8", "surrogatepass")) for k in keep]
+            marks = [xxhash.xxh3_128_digest(forms[k].encode("utf-8", "surrogatepass")) for k in keep]
             raw = [xxhash.xxh3_64_intdigest(rows[k][1].encode("utf-8", "surrogatepass")) - (1 << 63) for k in keep]
-            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in keep], pa.string()), pa.array(prints, pa.binary()), pa.array(raw, pa.int64())], ["id", "form", "raw"])
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in keep], pa.string()), pa.array(marks, pa.binary()), pa.array(raw, pa.int64())], ["id", "form", "raw"])
 
         return step
 
-    prints = map_batches(texts.select(F.col(key).cast("string").alias("id"), column), "id string, form binary, raw long", make)
-    varied = prints.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("form")
-    rows = prints.join(varied, "form", "left_semi").select("id", "form", "raw").distinct()
-    a, b = rows.toDF("id_a", "form", "raw_a"), rows.toDF("id_b", "form", "raw_b")
-    return a.join(b, "form").where("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b").distinct()
+    return map_batches(texts.select(F.col(key).cast("string").alias("id"), column), "id string, form binary, raw long", make)
+
+
+def disguised(texts: DataFrame, key: str, column: str, least: int = LEAST) -> DataFrame:
+    """Stage table id, form, raw of the texts whose form has several different texts, each id once."""
+    every = prints(texts, key, column, least)
+    varied = every.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("form")
+    return stage(every.join(varied, "form", "left_semi").select("id", "form", "raw").distinct(), "disguised")
+
+
+def look_alike_pairs(texts: DataFrame, key: str, column: str, least: int = LEAST) -> DataFrame:
+    """id_a < id_b of texts that differ in code points and agree in the consistent form.
+
+    Null and empty texts and those under `least` letters and digits are in no pair; rows repeated under one key count
+    once; exact copies are no pair with each other, but each is one with every disguise. Only 128-bit fingerprints
+    are shuffled. The different texts of a form are joined with each other first, and each pair of them with its copies
+    then: copies alone are compared with nothing, and every row that comes out is a pair.
+    """
+    rows = disguised(texts, key, column, least)
+    kinds = rows.select("form", "raw").distinct()
+    pairs = kinds.withColumnRenamed("raw", "raw_a").join(kinds.withColumnRenamed("raw", "raw_b"), "form").where("raw_a < raw_b")
+    both = pairs.join(rows.toDF("a", "form", "raw_a"), ["form", "raw_a"]).join(rows.toDF("b", "form", "raw_b"), ["form", "raw_b"])
+    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).where("id_a <> id_b").distinct()
+
+
+def look_alike_members(texts: DataFrame, key: str, column: str, least: int = LEAST) -> DataFrame:
+    """id, class (the form's print), text (the text's own) of all texts that look like a different one: the pairs without n² rows."""
+    return disguised(texts, key, column, least).select("id", F.hex("form").alias("class"), F.hex("raw").alias("text"))

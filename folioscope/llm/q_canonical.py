@@ -15,7 +15,7 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 
 def unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Entered values that stand for no entity."""
-    return unmatched_report(table(spark, d, "term_entries"), found(spark, d))
+    return unmatched_report(map_values(table(spark, d, "term_entries"), table(spark, d, "spec"), carry=("entered",)))
 
 
 def queries() -> dict:

@@ -35,6 +35,10 @@ _NUM = "[0-9OolI|]{1,4}"
 _WORD = "[\\p{IsLatin}\\p{M}0-9!|]*\\p{IsLatin}[\\p{IsLatin}\\p{M}0-9!|]*"
 
 
+#: What stands before and after a word that is replaced in its line: nothing that words are made of. The word is quoted.
+_APART = ("(?<![\\p{IsLatin}\\p{M}0-9!|])\\Q", "\\E(?![\\p{IsLatin}\\p{M}0-9!|])")
+
+
 def skeleton(word: Column) -> Column:
     """Words that differ by confusable glyphs only have one skeleton."""
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), STROKES, F.translate(F.lower(word), *GLYPHS))
@@ -184,7 +188,7 @@ def frequent_forms(words: DataFrame) -> DataFrame:
 
 def _recase(word: Column, right: Column, cased: Column) -> Column:
     first = F.substring(word, 1, 1)
-    capital = F.concat(F.upper(F.substring(right, 1, 1)), F.substring(right, 2, 1000))
+    capital = F.concat(F.upper(F.substring(right, 1, 1)), F.substring(right, F.lit(2), F.length(right)))
     return F.when(first.rlike("^\\p{Lu}"), capital).when(first.rlike("^\\p{Ll}"), right).otherwise(cased)
 
 
@@ -250,7 +254,7 @@ def readable(pages: DataFrame, texts: DataFrame, key: str = "id", column: str =
     lines, cuts, misread = repair(pages, texts, key, column)
     fixes = misread.groupBy("id", "line_no").agg(F.sort_array(F.collect_set(F.struct(F.col("word").alias("bad"), F.col("fixed").alias("good")))).alias("fixes"))
     page = Window.partitionBy("id").orderBy("line_no")
-    line = F.coalesce(F.aggregate("fixes", F.col("line"), lambda t, x: F.replace(t, x["bad"], x["good"])), F.col("line"))
+    line = F.coalesce(F.aggregate("fixes", F.col("line"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(_APART[0]), x["bad"], F.lit(_APART[1])), x["good"])), F.col("line"))
     rows = lines.where("kind is null").join(fixes, ["id", "line_no"], "left").join(cuts, ["id", "line_no"], "left").withColumn("line", line)
     rows = rows.withColumn("dropped", F.lag(F.when(~F.col("own"), F.col("rest"))).over(page))
     start = F.when(F.col("dropped").isNotNull(), F.expr("substring(line, length(dropped) + 1)")).otherwise(F.col("line"))

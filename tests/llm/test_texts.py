@@ -39,6 +39,20 @@ def test_look_alike_empty_and_long(spark):
     assert forms["a"] is None and forms["b"] == "" and forms["c"] == forms["d"]
 
 
+def test_confusables_of_unicode(spark):
+    found = dict(lookalike.confusables(spark, set("аеоІοԁßéœ中’٥Ӏ𝐚")))
+    assert {k: found.get(k) for k in "аеоІοԁ"} == {"а": "a", "е": "e", "о": "o", "І": "I", "ο": "o", "ԁ": "d"}
+    assert not {"’", "中", "ß", "œ", "é"} & set(found)
+
+
+def test_copies_of_one_form_are_not_compared(spark):
+    rows = [(f"c{i}", LONG) for i in range(30)] + [("d", disguise(LONG)), ("e", LONG.replace("a", "а"))]
+    got = {(r.id_a, r.id_b) for r in lookalike.look_alike_pairs(texts(spark, rows), "id", "raw_text").collect()}
+    assert len(got) == 30 * 2 + 1 and ("d", "e") in got
+    classes = lookalike.look_alike_members(texts(spark, rows), "id", "raw_text").collect()
+    assert len(classes) == 32 and len({r["class"] for r in classes}) == 1 and len({r.text for r in classes}) == 3
+
+
 def test_classes_are_transitive():
     classes = lookalike.look_alike_classes([("a", "b"), ("b", "c"), ("x", "")], {"c": 9, "a": 1})
     assert classes == {"a": "c", "b": "c", "x": ""}
@@ -230,6 +244,17 @@ def test_mapping(spark):
     assert canonical.map_values(entries.limit(0), spec).count() == 0
 
 
+def test_unmatched_values_are_counted_by_row(spark):
+    spec = spark.createDataFrame([("e1", "navire commun", None, None, None, None, None, None)], SPEC)
+    entries = spark.createDataFrame([(1, "rien"), (1, "rien"), (None, "rien"), (2, "navire commun"), (3, None)], "entry_id long, entered string")
+    assert {(r.entered, r.n) for r in canonical.unmatched_report(canonical.map_values(entries, spec, carry=("entered",))).collect()} == {("rien", 3), (None, 1)}
+
+
+def test_words_that_were_cut_off():
+    found = canonical.Resolver([("a", "jardin mobile"), ("b", "jardinier mobile"), ("c", "fleuve vivant")])
+    assert found.resolve(("jardin", "mob")) == "a" and found.resolve(("fleuve", "viv")) == "c" and sorted(found._begun("jard")) == ["jardin", "jardinier"]
+
+
 def test_changes():
     assert [canonical.changes(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xyz"))] == [0, 1, 1, 3]
 
@@ -253,6 +278,14 @@ def test_noise_places(spark):
     assert scans.noise_places(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_readable_replaces_whole_words(spark):
+    rows = [(f"t{i}", "Le mur ancien tient, le fleuve dort et le jardin reste ouvert ici.", "transcription") for i in range(20)]
+    page = "Le rnur ancien tient, le fleuve d0rt et le grnur reste 0uvert ici; le fleuve d0rtoir.\nLe mur ancien tient, le fleuve dort et le jardin reste ouvert ici."
+    df = spark.createDataFrame([*rows, ("p", page, "edition")], "id string, raw_text string, text_role string")
+    text = {r.id: r.text for r in scans.readable(df.where("text_role = 'edition'"), df).collect()}["p"]
+    assert text.startswith("Le mur ancien tient, le fleuve dort et le grnur reste ouvert ici; le fleuve d0rtoir.")
+
+
 # Sentences
 
 

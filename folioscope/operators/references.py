@@ -1,8 +1,10 @@
 """Orphan references: keys of records that are missing, deleted or loaded only later.
 
-Keys are coded as order-preserving integers over the sorted union of parent and reference keys.
-The sorted integer parent keys are compressed into contiguous runs, references are matched as-of
-to the preceding run start, and those beyond its run end are orphans.
+Keys are coded as order-preserving integers over the sorted union of parent and reference keys. The sorted integer
+parent keys are compressed into contiguous runs of like state, and references are matched as-of to the preceding run
+start. Those beyond its run end are missing; a run of deleted parents makes them deleted; a run whose latest parent was
+loaded after a reference may hold late ones, which an exact comparison of load times then settles. Runs end at every
+code that no parent has, so that the references' own orphans part them, too.
 """
 
 from __future__ import annotations
@@ -22,35 +24,38 @@ def parent_states(parents: DataFrame, key: str, loaded: str, deleted: str | None
     return parents.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(loaded).alias("first_loaded"), gone.alias("deleted"))
 
 
-def code_keys(parent_keys: DataFrame, reference_keys: DataFrame) -> DataFrame:
-    """key, is_parent, is_reference and code: integers in the order of the keys, consecutive within a block of them.
+def code_keys(parents: DataFrame, references: DataFrame) -> DataFrame:
+    """key, first_loaded, deleted (of parents), loaded (of references) and code: integers in the order of the keys, consecutive within a block of them.
 
     The keys are range partitioned; a code's high bits name the range, its low BLOCK_BITS count within it.
     """
-    tagged = parent_keys.select("key", F.lit(True).alias("is_parent")).unionByName(reference_keys.select("key", F.lit(False).alias("is_parent")))
-    keys = tagged.groupBy("key").agg(F.max("is_parent").alias("is_parent"), F.min("is_parent").alias("only_parent")).withColumn("is_reference", ~F.col("only_parent")).drop("only_parent")
+    none = lambda kind: F.lit(None).cast(kind)
+    tagged = parents.select("key", "first_loaded", "deleted", none("timestamp").alias("loaded"), F.lit(False).alias("asked"))
+    tagged = tagged.unionByName(references.select("key", none("timestamp").alias("first_loaded"), none("boolean").alias("deleted"), "loaded", F.lit(True).alias("asked")))
+    keys = tagged.groupBy("key").agg(F.min("first_loaded").alias("first_loaded"), F.max("deleted").alias("deleted"), F.min("loaded").alias("loaded"), F.max("asked").alias("asked"))
     ordered = keys.repartitionByRange("key").sortWithinPartitions("key").withColumn("code", F.monotonically_increasing_id())
     return stage(ordered, "keys")  # the codes depend on the ranges, which must not be drawn twice
 
 
-def _block(c: str) -> F.Column:
-    return F.shiftright(F.col(c), BLOCK_BITS)
-
-
 def contiguous_runs(codes: DataFrame) -> DataFrame:
-    """block, run_start, run_end of the parents' codes: gaps and islands within each block."""
-    w = Window.partitionBy("block").orderBy("code")
-    parents = codes.where("is_parent").select("code", _block("code").alias("block"))
-    return parents.withColumn("island", F.col("code") - F.row_number().over(w)).groupBy("block", "island").agg(F.min("code").alias("run_start"), F.max("code").alias("run_end")).drop("island")
-
-
-def beyond_runs(codes: DataFrame) -> DataFrame:
-    """The reference keys that no run holds: as-of match to the preceding run start, code beyond run end."""
-    runs = contiguous_runs(codes).select("block", F.col("run_start").alias("code"), F.col("run_end"), F.lit(None).cast("string").alias("key"))
-    refs = codes.where("is_reference").select(_block("code").alias("block"), "code", F.lit(None).cast("long").alias("run_end"), "key")
-    w = Window.partitionBy("block").orderBy("code", F.col("run_end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    at = runs.unionByName(refs).withColumn("end", F.last("run_end", ignorenulls=True).over(w))
-    return at.where(F.col("key").isNotNull() & (F.col("end").isNull() | (F.col("code") > F.col("end")))).select("key")
+    """block, run_start, run_end, deleted, latest of the parents' codes: gaps and islands of one state within each block."""
+    w = Window.partitionBy("block", "deleted").orderBy("code")
+    parents = codes.where("deleted is not null").select("code", "deleted", "first_loaded", F.shiftright("code", BLOCK_BITS).alias("block"))
+    islands = parents.withColumn("island", F.col("code") - F.row_number().over(w)).groupBy("block", "deleted", "island")
+    return islands.agg(F.min("code").alias("run_start"), F.max("code").alias("run_end"), F.max("first_loaded").alias("latest")).drop("island")
+
+
+def matched_runs(codes: DataFrame) -> DataFrame:
+    """key, kind and first_loaded of the reference keys that are missing, deleted or perhaps late (kind null): as-of match to the preceding run start."""
+    run = F.struct("run_end", "deleted", "latest")
+    runs = contiguous_runs(codes).select("block", F.col("run_start").alias("code"), run.alias("run"))
+    refs = codes.where("asked").select(F.shiftright("code", BLOCK_BITS).alias("block"), "code", "key", "loaded", "first_loaded")
+    w = Window.partitionBy("block").orderBy("code", F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    at = runs.unionByName(refs, allowMissingColumns=True).withColumn("at", F.last("run", ignorenulls=True).over(w)).where("key is not null")
+    beyond = F.col("at").isNull() | (F.col("code") > F.col("at.run_end"))
+    kind = F.when(beyond, "missing").when(F.col("at.deleted"), "deleted")
+    late = F.col("at.latest") > F.col("loaded")
+    return at.withColumn("kind", kind).where(F.col("kind").isNotNull() | late).select("key", "kind", "first_loaded")
 
 
 def orphan_references(
@@ -65,12 +70,10 @@ def orphan_references(
     """
     refs = records.where(F.col(field).isNotNull()).groupBy(F.col(record).alias("record_id"), F.col(field).alias("key"))
     refs = refs.agg(F.min(loaded).alias("loaded"))
-    states = parent_states(parents, parent_key, loaded, deleted)
-    codes = code_keys(states.select("key"), records.where(F.col(field).isNotNull()).select(F.col(field).alias("key")).distinct())
-    missing = beyond_runs(codes).withColumn("kind", F.lit("missing"))
-    known = states.select("key", F.when(F.col("deleted"), F.lit("deleted")).alias("kind"), "first_loaded")
-    status = known.unionByName(missing.withColumn("first_loaded", F.lit(None).cast("timestamp")), allowMissingColumns=True)
-    found = refs.join(status, "key").where(F.col("kind").isNotNull() | (F.col("first_loaded") > F.col("loaded")))
+    asked = records.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("key")).agg(F.min(loaded).cast("timestamp").alias("loaded"))
+    states = parent_states(parents, parent_key, loaded, deleted).withColumn("first_loaded", F.col("first_loaded").cast("timestamp"))
+    cases = matched_runs(code_keys(states, asked))
+    found = refs.join(cases, "key").where(F.col("kind").isNotNull() | (F.col("first_loaded") > F.col("loaded")))
     return found.select(
         F.lit(tbl).alias("tbl"), "record_id", F.lit(field).alias("field"), F.coalesce("kind", F.lit("late")).alias("kind"), F.date_format("loaded", "yyyy-MM").alias("period")
     )

@@ -147,7 +147,7 @@ def test_streams(spark, tmp_path):
         assert spark.table(name).count() == n
     q = source().writeStream.foreachBatch(ingest.upsert(str(tmp_path / "up"), "id", "at")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {(r.id, r.at.minute) for r in spark.read.parquet(str(tmp_path / "up/current")).collect()} == {("a", 5), ("b", 0)}
+    assert {(r.id, r.at.minute) for r in ingest.current(spark, str(tmp_path / "up")).collect()} == {("a", 5), ("b", 0)}
 
 
 def test_mentions_of_names_of_any_shape(spark, tmp_path):
@@ -159,3 +159,40 @@ def test_mentions_of_names_of_any_shape(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     query = browse.queries()["j8_all_mentions"]
     assert {r.id: r.documents for r in query(spark, str(tmp_path)).collect()} == {"a": 3, "b": 2, "c": 1}
+
+
+def test_upsert_keeps_rows(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    apply = ingest.upsert(path, "id", "at", buckets=4)
+    assert ingest.current(spark, path) is None
+    apply(spark.range(100).selectExpr("id", "1 AS at"), 0)
+    apply(spark.range(100, 101).selectExpr("id", "2 AS at", "'new' AS extra"), 1)  # one more column
+    assert ingest.current(spark, path).count() == 101
+    apply(spark.createDataFrame([(5, 9), (None, 1), (None, 2), (5, 3)], "id long, at int"), 2)
+    rows = {r.id: r.at for r in ingest.current(spark, path).collect()}
+    assert len(rows) == 102 and rows[5] == 9 and rows[None] == 2 and rows[100] == 2
+
+    def fail(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(ingest.Versions, "commit", fail)  # a crash between the rows and the manifest
+    with pytest.raises(OSError):
+        apply(spark.range(100).selectExpr("id", "50 AS at"), 3)
+    assert {r.id: r.at for r in ingest.current(spark, path).collect()} == rows
+    monkeypatch.undo()
+    for _ in range(2):  # and the batch run again, twice
+        apply(spark.range(100).selectExpr("id", "50 AS at"), 3)
+        again = {r.id: r.at for r in ingest.current(spark, path).collect()}
+        assert len(again) == 102 and again[5] == 50 and again[None] == 2
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_numbers_of_groups_of_any_size(spark, partitions):
+    from folioscope.operators import windows
+
+    rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", i * 7919 % 500) for i in range(500)]
+    got = windows.numbered_evenly(spark.createDataFrame(rows, "g string, o int").repartition(partitions), ["g"], ["o"]).collect()
+    want = {}
+    for g, o in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(g, []).append(o)
+    assert sorted((str(r.g), r.seq, r.o) for r in got) == sorted((str(g), k + 1, o) for g, os in want.items() for k, o in enumerate(os))

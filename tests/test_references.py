@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from folioscope.operators.references import beyond_runs, code_keys, contiguous_runs, orphan_references
+from folioscope.operators.references import code_keys, contiguous_runs, matched_runs, orphan_references
 
 T0 = datetime(2024, 1, 31, 12)
 RECORDS = "id string, session_id string, loaded_at timestamp, key string, kind int, code double"
@@ -58,13 +58,17 @@ def test_empty_tables(spark):
 
 
 def test_runs_are_contiguous(spark):
-    parents = spark.createDataFrame([(f"k{i:03d}",) for i in range(100) if i % 10], "key string")
-    refs = spark.createDataFrame([(f"k{i:03d}",) for i in range(0, 100, 5)], "key string")
+    parents = spark.createDataFrame([(f"k{i:03d}", T0 + timedelta(hours=i == 55), i // 20 == 1) for i in range(100) if i % 10], "key string, first_loaded timestamp, deleted boolean")
+    refs = spark.createDataFrame([(f"k{i:03d}", T0) for i in range(100)], "key string, loaded timestamp")
     codes = code_keys(parents, refs)
-    assert {r.key for r in beyond_runs(codes).collect()} == {f"k{i:03d}" for i in range(0, 100, 10)}
+    kinds = {r.key: r.kind for r in matched_runs(codes).collect()}
+    assert {k for k, v in kinds.items() if v == "missing"} == {f"k{i:03d}" for i in range(0, 100, 10)}
+    assert {k for k, v in kinds.items() if v == "deleted"} == {f"k{i:03d}" for i in range(20, 40) if i % 10}
+    assert "k055" in {k for k, v in kinds.items() if v is None} and len(kinds) < 50
     assert sum(r.run_end - r.run_start + 1 for r in contiguous_runs(codes).collect()) == 90
 
 
+
 KEYS = st.sampled_from([None, "", "a", "b", "c", "é", "zz"])
 DAYS = st.one_of(st.none(), st.integers(0, 40).map(lambda d: T0 + timedelta(days=d)))
 

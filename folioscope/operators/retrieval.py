@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.text import normal, words
+from folioscope.functions.stages import stage
+from folioscope.functions.text import compat, words
 
 #: BM25 saturation and length weight; the constant of reciprocal-rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
-#: Query vectors shipped at once.
-QUERY_BLOCK = 2048
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,92 +33,67 @@ def query_terms(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
     return rows.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """query, doc, score of documents that hold a query term. Only the queries' terms are counted, once per document.
-
-    wanted (query, term) is a driver-made table, bounded by what users type. idf is ln(1 + (N-df+.5)/(df+.5)).
-    """
-    sized = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("ws")).withColumn("dl", F.size("ws"))
-    totals = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")).first()  # two numbers
-    N, avgdl = F.lit(totals.N), F.lit(totals.avgdl or 1.0)
-    terms = [r.term for r in wanted.select("term").distinct().collect()]
-    hits = sized.select("doc", "dl", F.explode(F.filter("ws", lambda w: w.isin(terms))).alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term")  # as many rows as typed terms
-    idf = F.log(1 + (N - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return scored.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("query", "doc").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
-
-
 def ranked(df: DataFrame, query: str, score: str, item: str, k: int) -> DataFrame:
     """The k best per query with their rank; ties by item."""
     w = Window.partitionBy(query).orderBy(F.desc(score), item)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def holds_all(c: Column, terms: list[str]) -> Column:
-    """Whether a text holds every word."""
-    return reduce(lambda a, b: a & b, [F.array_contains(words(c), t) for t in terms], F.lit(True))
-
-
-def holds_phrase(c: Column, phrase: str) -> Column:
-    """Whether a text holds the words one after the other."""
-    padded = F.concat(F.lit(" "), normal(c), F.lit(" "))
-    return F.contains(padded, F.concat(F.lit(" "), normal(F.lit(phrase)), F.lit(" ")))
+def _packed(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """keys and matrix (doubles, row after row) of whole batches of vectors."""
+    kind = dict(vectors.dtypes)[key]
 
+    def pack(batches):
+        for b in batches:
+            rows = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            keys = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([rows.tobytes()], pa.binary())], ["keys", "matrix"])
 
-def ladder(docs: DataFrame, key: str, text: str, queries: dict[str, str]) -> DataFrame:
-    """query, doc, tier of the tightest variant with any match: 1 phrase, 2 all words, 3 any word; never a union."""
-    # The text is folded once; words and phrases are looked for between blanks.
-    docs = docs.select(F.col(key).alias("doc"), F.concat(F.lit(" "), normal(F.col(text)), F.lit(" ")).alias("padded"))
-    parts = []
-    for name, q in sorted(queries.items()):
-        within = [F.contains(F.col("padded"), F.concat(F.lit(" "), normal(F.lit(t)), F.lit(" "))) for t in (q, *(t for t in q.lower().split() if len(t) > 1))]
-        tier = F.when(within[0], 1).when(reduce(lambda a, b: a & b, within[1:], F.lit(True)), 2).when(reduce(lambda a, b: a | b, within[1:], F.lit(False)), 3)
-        parts.append(F.struct(F.lit(name).alias("query"), tier.alias("tier")))
-    hits = docs.select("doc", F.explode(F.array(*parts)).alias("m")).select("doc", "m.query", "m.tier").where("tier is not null")
-    best = hits.groupBy("query").agg(F.min("tier").alias("tier"))
-    return hits.join(F.broadcast(best), ["query", "tier"]).select("query", "doc", "tier")
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector)).mapInArrow(pack, f"keys array<{kind}>, matrix binary")
 
 
-def vector_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """query, item, score, rank: exact top k of each query vector (query, v) against all other vectors.
 
-    Queries are shipped in blocks of about `block`, whatever their number; each scan multiplies a partition's batches
-    with one block and passes on its k best per query only. Null vectors have no score; ties go by item.
+    Blocks of vectors meet blocks of queries in a grid: every block of queries goes to each of as many strips as there
+    are shuffle partitions, every block of vectors to one, so that no task and no driver holds all queries. Each meeting
+    passes on its k best per query only. Null vectors have no score; ties go by item.
     """
-    queries = queries.where("v is not null")
-    blocks = max(1, -(-queries.count() // block))
-    numbered = queries.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    kind = dict(vectors.dtypes)[key]
-    parts = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("b") == b).select("query", "v").collect()
-        if not rows:
-            continue
-        shipped = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in rows]), np.array([r.v for r in rows], float)))
-
-        def best(batches, shipped=shipped):
-            names, matrix = shipped.value
-            top: pd.DataFrame | None = None
-            for batch in batches:
-                items = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = np.round(np.array(batch.column(1).to_pylist(), float) @ matrix.T, 6)
+    strips = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = stage(_packed(vectors, key, vector), "vectors").withColumn("strip", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(strips)))
+    asked = stage(_packed(queries, "query", "v"), "queries").toDF("names", "wanted").withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))))
+
+    def best(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                items, names = np.array(row["keys"]), np.array(row["names"])
+                left = np.frombuffer(row["matrix"]).reshape(len(items), -1)
+                scores = np.round(left @ np.frombuffer(row["wanted"]).reshape(len(names), -1).T, 6)
                 scores[items[:, None] == names[None, :]] = -np.inf
                 least = np.partition(scores, -min(k, len(items)), 0)[-min(k, len(items))]  # ties with the last stay
-                at, q = np.nonzero(scores >= least[None, :])
+                at, q = np.nonzero((scores >= least[None, :]) & np.isfinite(scores))
                 new = pd.DataFrame({"query": names[q], "item": items[at], "score": scores[at, q]})
-                new = new[np.isfinite(new.score)]
-                top = new if top is None else pd.concat([top, new])
-                top = top.sort_values(["query", "score", "item"], ascending=[True, False, True]).groupby("query").head(k)
-            if top is not None and len(top):
-                yield pa.RecordBatch.from_pandas(top, preserve_index=False)
+                new = new.sort_values(["query", "score", "item"], ascending=[True, False, True]).groupby("query").head(k)
+                yield pa.RecordBatch.from_pandas(new, preserve_index=False)
+
+    met = items.join(asked, "strip").select("keys", "matrix", "names", "wanted")
+    return ranked(met.mapInArrow(best, f"query {dict(queries.dtypes)['query']}, item {dict(vectors.dtypes)[key]}, score double"), "query", "score", "item", k)
 
-        source = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("item"), F.col(vector).alias("v"))
-        parts.append(source.mapInArrow(best, f"query {dict(queries.dtypes)['query']}, item {kind}, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"query {dict(queries.dtypes)['query']}, item {kind}, score double, rank int")
-    return ranked(reduce(DataFrame.unionByName, parts), "query", "score", "item", k)
+
+def hashed_vectors(df: DataFrame, key: str, text: str, dims: int = 256, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """key, v: signed counts of character sequences in hashed slots, of length 1; zeros of a text without characters.
+
+    Slot and sign are bits of the sequence's SHA-256, which SQL engines share.
+    """
+    t = F.trim(F.regexp_replace(F.lower(compat(F.coalesce(F.col(text), F.lit("")))), "\\s+", " "))
+    grams = F.flatten(F.array(*(F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i, n=n: F.substring(F.col("t"), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    rows = df.select(key, t.alias("t")).select(key, F.explode_outer(grams).alias("g")).withColumn("h", F.sha2("g", 256))
+    slot = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims
+    sign = F.when(F.substring("h", 9, 1).isin(*"02468ace"), -1).otherwise(1)
+    sums = rows.groupBy(key, slot.alias("slot")).agg(F.sum(sign).alias("x"))
+    whole = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "x")))).alias("m"), F.sqrt(F.sum(F.when(F.col("slot").isNotNull(), F.col("x") * F.col("x")))).alias("norm"))
+    cell = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).otherwise(0.0)
+    return whole.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), cell).alias("v"))
 
 
 def fused(lists: DataFrame, k: int) -> DataFrame:
@@ -147,5 +119,5 @@ def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def fingerprint(c: Column, n: int = 120) -> Column:
-    """The first n letters and digits of a text: equal for near-identical beginnings."""
-    return F.substring(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", ""), 1, n)
+    """The first n letters, digits and underscores of a text, case kept: equal for near-identical beginnings."""
+    return F.substring(F.regexp_replace(c, "[^\\p{L}\\p{N}_]+", ""), 1, n)

@@ -44,7 +44,7 @@ def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
 
 def context(df: DataFrame, targets: DataFrame, key: str, group: str, order: str, radius: int) -> DataFrame:
     """target, neighbour, distance: rows of the same group at most radius places from each target."""
-    placed = numbered(df, [group], [order], "_n")
+    placed = numbered_evenly(df.select(group, key, *([order] if order != key else [])), [group], [order], "_n")
     at = placed.join(targets.select(F.col(key).alias("_t")).distinct(), F.col(key) == F.col("_t"), "left_semi").select(F.col(key).alias("target"), F.col(group).alias("_g"), F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("distance"), F.col("_n").alias("_at"))
     # The place is a join key, so that a long group is spread over many tasks.
     at = at.withColumn("_n", F.col("_at") + F.col("distance"))
@@ -52,9 +52,10 @@ def context(df: DataFrame, targets: DataFrame, key: str, group: str, order: str,
 
 
 def neighbours(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Adds has_prev and has_next."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("has_prev", F.lag(F.lit(1)).over(w).isNotNull()).withColumn("has_next", F.lead(F.lit(1)).over(w).isNotNull())
+    """Adds has_prev and has_next; groups of any size are numbered by ranges."""
+    most = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_most"))
+    placed = numbered_evenly(df, [group], [order], "_n").join(most, F.col(group).eqNullSafe(F.col("_g")))
+    return placed.withColumn("has_prev", F.col("_n") > 1).withColumn("has_next", F.col("_n") < F.col("_most")).drop("_g", "_n", "_most")
 
 
 def capped(df: DataFrame, query: str, group: str, rank: str, most: int) -> DataFrame:
@@ -64,21 +65,39 @@ def capped(df: DataFrame, query: str, group: str, rank: str, most: int) -> DataF
 
 
 def diversified(df: DataFrame, query: str, group: str, rank: str, item: str, most_in_row: int, top: int) -> DataFrame:
-    """query, items: the greedy selection in rank order that never takes more than most_in_row of one group in a row.
+    """query, items: the greedy selection in rank order that never takes more than most_in_row of one group in a row."""
+    kept = diversify(df.withColumn("_fp", F.col(item).cast("string")), query, rank, item, "_fp", item, group, top, session_limit=None, streak=most_in_row).where("reason is null")
+    return kept.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, F.col(item).cast("string").alias("i")))), lambda x: x["i"]).alias("items"))
 
-    A query's ranked list is bounded by its retrieval limit; the fold runs inside the JVM.
+
+def diversify(df: DataFrame, query: str, rank: str, item: str, fingerprint: str, session: str, group: str, top: int, session_limit: int | None = 3, streak: int | None = None) -> DataFrame:
+    """query, rank, item, reason: a greedy selection in rank order until `top` are kept; reason tells why one was dropped.
+
+    'near_duplicate': a kept one has the fingerprint; 'session_concentration': session_limit kept ones share the
+    session; 'streak': the last `streak` kept ones share the group. What was dropped registers nothing. A query's ranked
+    list is bounded by its retrieval limit; the fold runs inside the JVM.
     """
-    rows = df.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col(group).alias("g")))).alias("l"))
-    start = F.struct(F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("g"), F.lit(0).alias("n"))
+    cell = F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col(fingerprint).alias("f"), F.col(session).cast("string").alias("s"), F.col(group).cast("string").alias("g"))
+    rows = df.groupBy(query).agg(F.array_sort(F.collect_list(cell)).alias("l"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = f"array<struct<r: {kinds[rank]}, i: {kinds[item]}, reason: string>>"
+    none = lambda kind: F.array().cast(kind)
+    start = F.struct(none(out).alias("out"), none(f"array<{kinds[fingerprint]}>").alias("seen"), none("array<string>").alias("sessions"), none("array<string>").alias("groups"))
 
     def step(acc: Column, x: Column) -> Column:
-        n = F.when(x["g"].eqNullSafe(acc["g"]), acc["n"] + 1).otherwise(1)
-        take = (n <= most_in_row) & (F.size(acc["items"]) < top)
-        return F.struct(
-            F.when(take, F.concat(acc["items"], F.array(x["i"].cast("string")))).otherwise(acc["items"]).alias("items"), F.when(take, x["g"].cast("string")).otherwise(acc["g"]).alias("g"), F.when(take, n).otherwise(acc["n"]).alias("n")
-        )
-
-    return rows.select(query, F.aggregate("l", start, step)["items"].alias("items"))
+        full = F.size(acc["groups"]) >= top
+        reason = F.when(F.array_contains(acc["seen"], x["f"]), "near_duplicate")
+        if session_limit is not None:
+            reason = reason.when(F.size(F.filter(acc["sessions"], lambda s: s == x["s"])) >= session_limit, "session_concentration")
+        if streak is not None:
+            last = F.slice(acc["groups"], F.greatest(F.size(acc["groups"]) - (streak - 1), F.lit(1)), streak)
+            reason = reason.when((F.size(acc["groups"]) >= streak) & F.forall(last, lambda g: g.eqNullSafe(x["g"])), "streak")
+        take = ~full & reason.isNull()
+        add = lambda name, value: F.when(take, F.concat(acc[name], F.array(value))).otherwise(acc[name]).alias(name)
+        row = F.array(F.struct(x["r"].alias("r"), x["i"].alias("i"), reason.alias("reason")))
+        return F.struct(F.when(full, acc["out"]).otherwise(F.concat(acc["out"], row)).alias("out"), add("seen", x["f"]), add("sessions", x["s"]), add("groups", x["g"]))
+
+    return rows.select(query, F.inline(F.aggregate("l", start, step)["out"])).select(query, F.col("r").alias(rank), F.col("i").alias(item), "reason")
 
 
 def interleaved(df: DataFrame, query: str, lane: str, rank: str, item: str) -> DataFrame:

@@ -4,37 +4,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import text as X
 from folioscope.operators import filters, windows
 from folioscope.plans.sql import ONCE, words
+from folioscope.sources.files import segments
 from folioscope.sources.tables import table
 
 #: Literal forms whose attestations are counted.
 FORMS = ["le miroir", "la lettre", "watermark", "silence", "档案"]
 #: Patterns whose occurrences are counted.
 PATTERNS = {"year": "19[0-9][0-9]", "number_sign": "n°", "page": "(page|p\\.) [0-9]+", "ellipsis": "…"}
+#: Texts whose hashes are hashed together.
+BLOCK = 1024
 _DOCS = {"fr", "zh", "en", "de"}
 
 
-def _passages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Passages with each id once, by the earliest load; only the needed columns are shuffled."""
-    rows = table(spark, d, "passages").select("id", "loaded_at", *(c for c in columns if c != "id"))
-    others = [c for c in rows.columns if c != "id"]
-    return rows.groupBy("id").agg(F.min(F.struct(*others)).alias("r")).select("id", *(F.col(f"r.{c}").alias(c) for c in others))
+def _passages(spark: SparkSession, d: str, *columns: str | Column, where: Column | str | None = None) -> DataFrame:
+    """id and the given columns of the passages that a filter lets through, each once.
+
+    Deliveries of an id have one content. The filter and the expressions stand below the removal of repeats, so that
+    they reach the scan and only what they give is shuffled.
+    """
+    rows = table(spark, d, "passages")
+    rows = rows if where is None else rows.where(where)
+    return rows.select("id", *(c for c in columns if not (isinstance(c, str) and c == "id"))).distinct()
 
 
 def f1_filters(spark, d):
     chosen = filters.validated({"language": "fr", "text_role": "transcription"}, {"language": {"fr", "zh"}, "text_role": {"transcription", "translation", "edition", "note"}})
-    p = _passages(spark, d, "language", "text_role", "raw_text").where(filters.equals(chosen))
-    return p.select("id", X.snippet(F.col("raw_text"), 60).alias("snippet"), F.length("raw_text").alias("n"), (F.length("raw_text") > 60).alias("truncated"))
+    return _passages(spark, d, X.snippet(F.col("raw_text"), 60).alias("snippet"), F.length("raw_text").alias("n"), (F.length("raw_text") > 60).alias("truncated"), where=filters.equals(chosen))
 
 
 def f4_interval_overlap(spark, d):
-    return _passages(spark, d, "year_from", "year_to").where(filters.overlaps("year_from", "year_to", 1950, 1955)).select("id", "year_from", "year_to")
+    return _passages(spark, d, "year_from", "year_to", where=filters.overlaps("year_from", "year_to", 1950, 1955))
 
 
 def f5_attestation(spark, d):
@@ -117,14 +123,6 @@ def j7_other_aliases(spark, d):
     return windows.first_n(pairs, ["id", "folded"], ["other"], 4).select("id", "folded", "other")
 
 
-def j8_mentions(spark, d):
-    names = _aliases(spark, d).where(~F.col("folded").rlike("\\p{IsHan}") & (F.size(X.words(F.col("folded"))) == 2)).select("id", "folded").distinct()
-    docs = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("ws"))
-    two = F.zip_with("ws", F.slice("ws", 2, 100_000_000), lambda a, b: F.concat_ws(" ", a, b))
-    grams = docs.where(F.size("ws") > 1).select("doc_id", F.explode(F.array_distinct(F.slice(two, F.lit(1), F.size("ws") - 1))).alias("folded"))
-    return grams.join(names, "folded").groupBy("id").agg(F.countDistinct("doc_id").alias("documents"))
-
-
 def j8_all_mentions(spark, d):
     """Documents by entity, for names of any shape: Chinese ones anywhere in the packed text, others at word boundaries (also beside Chinese)."""
 
@@ -185,7 +183,7 @@ def a4_sessions(spark, d):
 
 
 def a6_coverage(spark, d):
-    p = _passages(spark, d, "session_id", "seminar_id", "language", "raw_text").where(F.contains("raw_text", F.lit("miroir")) | F.contains("raw_text", F.lit("镜子")))
+    p = _passages(spark, d, "session_id", "seminar_id", "language", where=F.contains("raw_text", F.lit("miroir")) | F.contains("raw_text", F.lit("镜子")))
     return p.groupBy("language").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("seminar_id").alias("seminars"))
 
 
@@ -194,7 +192,7 @@ def a7_provenance(spark, d):
 
 
 def a9_formalism(spark, d):
-    rows = _passages(spark, d, "seminar_id", "raw_text").select("seminar_id", F.explode(F.regexp_extract_all("raw_text", F.lit("(§ ?[0-9]+\\.[0-9]+)"), F.lit(1))).alias("e"))
+    rows = _passages(spark, d, "seminar_id", F.regexp_extract_all("raw_text", F.lit("(§ ?[0-9]+\\.[0-9]+)"), F.lit(1)).alias("es"), where=F.contains("raw_text", F.lit("§"))).select("seminar_id", F.explode("es").alias("e"))
     return rows.groupBy("seminar_id", F.regexp_replace("e", " ", "").alias("expr")).agg(F.count("*").alias("n"))
 
 
@@ -205,9 +203,8 @@ def a10_samples(spark, d):
 
 def a13_double_count(spark, d):
     t = F.lower("raw_text")
-    p = _passages(spark, d, "seminar_id", "raw_text")
-    hits = F.sum(F.contains(t, F.lit("miroir")).cast("int") + F.contains(t, F.lit("lettre")).cast("int"))
-    return p.groupBy("seminar_id").agg(hits.cast("long").alias("hits")).where("hits > 0")
+    p = _passages(spark, d, "seminar_id", (F.contains(t, F.lit("miroir")).cast("int") + F.contains(t, F.lit("lettre")).cast("int")).alias("n"))
+    return p.groupBy("seminar_id").agg(F.sum("n").alias("hits")).where("hits > 0")
 
 
 def a16_metadata(spark, d):
@@ -225,10 +222,11 @@ def a17_concentration(spark, d):
 
 
 def a18_jaccard(spark, d):
-    p = _passages(spark, d, "witness_id", "seminar_id").where("witness_id is not null").select("witness_id", "seminar_id").distinct()
-    sets = p.groupBy("witness_id").agg(F.collect_set("seminar_id").alias("s"))  # at most the fixed seminars
-    pairs = sets.toDF("a", "sa").join(sets.toDF("b", "sb"), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), 6).alias("jaccard"))
+    p = _passages(spark, d, "witness_id", "seminar_id", where="witness_id is not null").select("witness_id", "seminar_id").distinct()
+    sizes = p.groupBy("witness_id").agg(F.count("seminar_id").alias("n"))
+    left, right = p.toDF("a", "m"), p.toDF("b", "m")
+    both = left.join(right, "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))  # only sets that share an element meet
+    return both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard"))
 
 
 def a19_duplicates(spark, d):
@@ -249,18 +247,21 @@ def a24_quantiles(spark, d):
 
 
 def a25_content_hash(spark, d):
-    p = _passages(spark, d, "session_id", "raw_text").select("session_id", "id", F.sha2(F.coalesce("raw_text", F.lit("")), 256).alias("h"))
-    return p.groupBy("session_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]), "\n"), 256).alias("content"))
+    """Hash of a session's texts in order: of the hashes of its blocks of BLOCK texts, so that no list grows with all of them."""
+    p = windows.numbered_evenly(_passages(spark, d, "session_id", F.sha2(F.coalesce("raw_text", F.lit("")), 256).alias("h")), ["session_id"], ["id"], "n")
+    joined = lambda at, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, h))), lambda x: x[h]), "\n"), 256)
+    blocks = p.groupBy("session_id", F.floor((F.col("n") - 1) / BLOCK).alias("block")).agg(joined("n", "h").alias("h"))
+    return blocks.groupBy("session_id").agg(joined("block", "h").alias("content"))
 
 
 def w1_numbering(spark, d):
-    p = windows.numbered(_passages(spark, d, "session_id"), ["session_id"], ["id"], "seq")
+    p = windows.numbered_evenly(_passages(spark, d, "session_id"), ["session_id"], ["id"], "seq")
     return p.select("id", F.concat(F.lit("P"), F.lpad(F.col("seq").cast("string"), 5, "0")).alias("key"))
 
 
 def w2_context(spark, d):
-    p = _passages(spark, d, "session_id", "raw_text")
-    return windows.context(p, p.where(F.contains("raw_text", F.lit("annexe B"))), "id", "session_id", "id", 2)
+    p = _passages(spark, d, "session_id", F.contains("raw_text", F.lit("annexe B")).alias("hit"))
+    return windows.context(p, p.where("hit"), "id", "session_id", "id", 2)
 
 
 def w4_neighbours(spark, d):
@@ -268,13 +269,13 @@ def w4_neighbours(spark, d):
 
 
 def w7_capped(spark, d):
-    p = _passages(spark, d, "session_id", "seminar_id", "raw_text").withColumn("n", F.length("raw_text"))
-    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("seminar_id").orderBy(F.desc("n"), "id")))
+    p = _passages(spark, d, "session_id", "seminar_id", (-F.length("raw_text")).alias("shortness"))
+    ranked = windows.numbered_evenly(p, ["seminar_id"], ["shortness", "id"], "rank")
     return windows.capped(ranked, "seminar_id", "session_id", "rank", 3).where("new_rank <= 10").select("seminar_id", "id", "rank", "new_rank")
 
 
 def w8_diversified(spark, d):
-    p = _passages(spark, d, "session_id", "seminar_id", "raw_text").withColumn("n", F.length("raw_text"))
+    p = _passages(spark, d, "session_id", "seminar_id", F.length("raw_text").alias("n"))
     top = p.withColumn("rank", F.row_number().over(Window.partitionBy("seminar_id").orderBy(F.desc("n"), "id"))).where("rank <= 50")
     return windows.diversified(top, "seminar_id", "session_id", "rank", "id", 1, 10).select("seminar_id", F.array_join("items", ",").alias("items"))
 
@@ -317,12 +318,12 @@ def u2_union(spark, d):
 
 
 def u4_intersection(spark, d):
-    s = lambda f: _passages(spark, d, "session_id", "raw_text").where(F.contains("raw_text", F.lit(f))).select("session_id")
+    s = lambda f: _passages(spark, d, "session_id", where=F.contains("raw_text", F.lit(f))).select("session_id")
     return s("miroir").intersect(s("lettre"))
 
 
 def u5_difference(spark, d):
-    s = lambda lang: _passages(spark, d, "session_id", "language").where(F.col("language") == lang).select("session_id")
+    s = lambda lang: _passages(spark, d, "session_id", where=F.col("language") == lang).select("session_id")
     return s("fr").distinct().exceptAll(s("zh").distinct())
 
 
@@ -350,8 +351,9 @@ def x15_isbn(spark, d):
 
 
 def s13_segments(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\\n")).alias("pos", "part"))
-    return docs.where(F.length(F.trim("part")) > 120).groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length(F.trim("part"))).cast("long").alias("chars"))
+    """Paragraphs of the documents, parted by blank lines, those over 60 characters packed up to about 200."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return segments(docs, "doc_id", "text", least=60, target=200).groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length("segment")).cast("long").alias("chars"))
 
 
 def streaming_sessions(spark, d):
@@ -360,7 +362,7 @@ def streaming_sessions(spark, d):
     return e.groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-_Q = [f1_filters, f4_interval_overlap, f5_attestation, f6_patterns, f7_pool_topk, f12_derived_seminar, f13_period_labels, f14_overlay, j2_sources, j3_provenance_chain, j4_unlinked_witnesses, j5_links, j7_other_aliases, j8_mentions, j8_all_mentions, j12_layers, j14_equivalents, j15_period_of_year, j18_fallback, a2_facets, a4_sessions, a6_coverage, a7_provenance, a9_formalism, a10_samples, a13_double_count, a16_metadata, a17_concentration, a18_jaccard, a19_duplicates, a20_conflicts, a24_quantiles, a25_content_hash, w1_numbering, w2_context, w4_neighbours, w7_capped, w8_diversified, w10_interleaved, w11_first_wins, w13_series, w15_hash_sample, k4_keyset, k6_compound_keyset, k7_offset, u2_union, u4_intersection, u5_difference, u6_snapshot_diff, x2_language, x13_claims, x15_isbn, s13_segments, streaming_sessions]
+_Q = [f1_filters, f4_interval_overlap, f5_attestation, f6_patterns, f7_pool_topk, f12_derived_seminar, f13_period_labels, f14_overlay, j2_sources, j3_provenance_chain, j4_unlinked_witnesses, j5_links, j7_other_aliases, j8_all_mentions, j12_layers, j14_equivalents, j15_period_of_year, j18_fallback, a2_facets, a4_sessions, a6_coverage, a7_provenance, a9_formalism, a10_samples, a13_double_count, a16_metadata, a17_concentration, a18_jaccard, a19_duplicates, a20_conflicts, a24_quantiles, a25_content_hash, w1_numbering, w2_context, w4_neighbours, w7_capped, w8_diversified, w10_interleaved, w11_first_wins, w13_series, w15_hash_sample, k4_keyset, k6_compound_keyset, k7_offset, u2_union, u4_intersection, u5_difference, u6_snapshot_diff, x2_language, x13_claims, x15_isbn, s13_segments, streaming_sessions]
 
 
 def queries() -> dict:
@@ -395,9 +397,6 @@ def _sql() -> dict[str, str]:
         "j5_links": "SELECT passage_id, string_agg(witness_id, ',' ORDER BY witness_id) AS witnesses, count(*) AS n FROM (SELECT DISTINCT passage_id, witness_id FROM passage_source_map WHERE witness_id IS NOT NULL) GROUP BY 1",
         "j7_other_aliases": f"""WITH a AS (SELECT DISTINCT id, folded FROM {aliases})
             SELECT id, folded, other FROM (SELECT a.id, a.folded, b.folded AS other, row_number() OVER (PARTITION BY a.id, a.folded ORDER BY b.folded) AS rn FROM a JOIN a b ON a.id = b.id AND a.folded <> b.folded) WHERE rn <= 4""",
-        "j8_mentions": f"""WITH a AS (SELECT DISTINCT id, folded FROM {aliases} WHERE NOT regexp_matches(folded, '\\p{{Han}}') AND len({words('folded')}) = 2),
-            t AS (SELECT doc_id, ' ' || array_to_string({words('text')}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
-            SELECT a.id, count(DISTINCT doc_id) AS documents FROM a JOIN t ON contains(t.t, ' ' || a.folded || ' ') GROUP BY 1""",
         "j8_all_mentions": f"""WITH a AS (SELECT DISTINCT id, folded FROM {aliases} WHERE folded <> ''),
             t AS (SELECT doc_id, ' ' || array_to_string({words("regexp_replace(text, '([\\p{Han}]+)', ' \\1 ', 'g')")}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
             SELECT a.id, count(DISTINCT doc_id) AS documents FROM a JOIN t ON CASE WHEN regexp_matches(folded, '\\p{{Han}}') THEN contains(replace(t.t, ' ', ''), replace(a.folded, ' ', '')) ELSE contains(t.t, ' ' || a.folded || ' ') END GROUP BY 1""",
@@ -420,18 +419,24 @@ def _sql() -> dict[str, str]:
         "a17_concentration": f"SELECT seminar_id, round(max(n) / sum(n), 6) AS share, sum(n)::BIGINT AS n FROM (SELECT seminar_id, session_id, count(*) AS n FROM {ONCE} GROUP BY 1, 2) GROUP BY 1",
         "a18_jaccard": f"""WITH s AS (SELECT DISTINCT witness_id AS w, seminar_id AS m FROM {ONCE} WHERE witness_id IS NOT NULL), c AS (SELECT w, count(m) AS n FROM s GROUP BY 1),
             x AS (SELECT a.w AS a, b.w AS b, count(*) AS n FROM s a JOIN s b ON a.m = b.m AND a.w < b.w GROUP BY 1, 2)
-            SELECT a.w AS a, b.w AS b, round(coalesce(x.n, 0) / (a.n + b.n - coalesce(x.n, 0)), 6) AS jaccard FROM c a JOIN c b ON a.w < b.w LEFT JOIN x ON x.a = a.w AND x.b = b.w""",
+            SELECT x.a, x.b, round(x.n / (a.n + b.n - x.n), 6) AS jaccard FROM x JOIN c a ON a.w = x.a JOIN c b ON b.w = x.b""",
         "a19_duplicates": "SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1 HAVING count(*) > 1",
         "a20_conflicts": """SELECT id, field, count(DISTINCT v) AS values, min(v) AS lo, max(v) AS hi FROM (SELECT id, 'session_date' AS field, session_date AS v FROM sessions UNION ALL
             SELECT id, 'passage_count', passage_count::VARCHAR FROM sessions UNION ALL SELECT id, 'trace_status', trace_status FROM sessions) WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT v) > 1""",
         "a24_quantiles": "SELECT source, count(*) AS n, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM documents WHERE n_chars IS NOT NULL GROUP BY 1",
-        "a25_content_hash": f"SELECT session_id, sha256(string_agg(sha256(coalesce(raw_text, '')), chr(10) ORDER BY id)) AS content FROM {ONCE} GROUP BY 1",
+        "a25_content_hash": f"""WITH p AS (SELECT session_id, sha256(coalesce(raw_text, '')) AS h, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM {ONCE}),
+            b AS (SELECT session_id, (n - 1) // {BLOCK} AS block, sha256(string_agg(h, chr(10) ORDER BY n)) AS h FROM p GROUP BY 1, 2) SELECT session_id, sha256(string_agg(h, chr(10) ORDER BY block)) AS content FROM b GROUP BY 1""",
         "w1_numbering": f"SELECT id, 'P' || lpad((row_number() OVER (PARTITION BY session_id ORDER BY id))::VARCHAR, 5, '0') AS key FROM {ONCE}",
         "w2_context": f"""WITH p AS (SELECT id, session_id, raw_text, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM {ONCE})
             SELECT a.id AS target, b.id AS neighbour, (b.n - a.n)::INTEGER AS distance FROM p a JOIN p b ON a.session_id = b.session_id AND abs(a.n - b.n) <= 2 WHERE contains(a.raw_text, 'annexe B')""",
         "w4_neighbours": f"SELECT id, lag(1) OVER w IS NOT NULL AS has_prev, lead(1) OVER w IS NOT NULL AS has_next FROM {ONCE} WINDOW w AS (PARTITION BY session_id ORDER BY id)",
         "w7_capped": f"""SELECT seminar_id, id, rank, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY seminar_id ORDER BY rank) AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY seminar_id, session_id ORDER BY rank) AS c FROM (
             SELECT id, seminar_id, session_id, row_number() OVER (PARTITION BY seminar_id ORDER BY length(raw_text) DESC, id) AS rank FROM {ONCE})) WHERE c <= 3) WHERE new_rank <= 10""",
+        "w8_diversified": f"""WITH RECURSIVE p AS (SELECT id, seminar_id, session_id, row_number() OVER (PARTITION BY seminar_id ORDER BY length(raw_text) DESC, id) AS rank FROM {ONCE} QUALIFY rank <= 50),
+            r(seminar_id, rank, last, items, n) AS (SELECT DISTINCT seminar_id, 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], 0 FROM p UNION ALL SELECT r.seminar_id, p.rank,
+            CASE WHEN n < 10 AND (n = 0 OR p.session_id IS DISTINCT FROM last) THEN p.session_id ELSE last END, CASE WHEN n < 10 AND (n = 0 OR p.session_id IS DISTINCT FROM last) THEN list_append(items, p.id) ELSE items END,
+            CASE WHEN n < 10 AND (n = 0 OR p.session_id IS DISTINCT FROM last) THEN n + 1 ELSE n END FROM r JOIN p ON p.seminar_id = r.seminar_id AND p.rank = r.rank + 1)
+            SELECT seminar_id, array_to_string(items, ',') AS items FROM (SELECT *, row_number() OVER (PARTITION BY seminar_id ORDER BY rank DESC) AS k FROM r) WHERE k = 1""",
         "w10_interleaved": "WITH l AS (" + " UNION ALL ".join(f"(SELECT {i} AS lane, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE contains(lower(text), '{f}') QUALIFY rank <= 20)" for i, f in enumerate(("miroir", "lettre", "mirror"))) + """)
             SELECT doc_id, row_number() OVER (ORDER BY rank, lane, doc_id) AS rank FROM (SELECT doc_id, rank, lane FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, lane) AS k FROM l) WHERE k = 1)""",
         "w11_first_wins": "SELECT passage_id, witness_id FROM (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY loaded_at, witness_id NULLS LAST) AS rn FROM passage_source_map) WHERE rn = 1",
@@ -448,10 +453,14 @@ def _sql() -> dict[str, str]:
             SELECT CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old = new THEN 'unchanged' ELSE 'modified' END AS state, count(*) AS n FROM o FULL OUTER JOIN n ON o.id = n.id GROUP BY 1""",
         "x2_language": f"""SELECT lang, CASE WHEN n = 0 THEN 'und' WHEN {cnt('[一-鿿]')} / n > 0.05 THEN 'zh' WHEN {cnt('[Ѐ-ӿ]')} / n > 0.1 THEN 'ru' WHEN {cnt('[Ͱ-Ͽ]')} / n > 0.1 THEN 'el' WHEN {cnt('[؀-ۿ]')} / n > 0.1 THEN 'ar'
             WHEN lat / n > 0.2 THEN CASE WHEN de >= 3 AND de / lat > 0.004 AND fr / lat < 0.002 THEN 'de' WHEN fr >= 3 AND fr / lat > 0.003 THEN 'fr' ELSE 'en' END ELSE 'und' END AS detected, count(*) AS n
-            FROM (SELECT lang, t, length(t) AS n, {cnt('[a-zà-öø-ÿœ]')} AS lat, {cnt('[àâäéèêëïîôöùûüÿçœæ]')} AS fr, {cnt('[äöüß]')} AS de FROM (SELECT lang, lower(substring(coalesce(text, ''), 1, 40000)) AS t FROM documents)) GROUP BY 1, 2""",
+            FROM (SELECT lang, t, length(t) AS n, {cnt('[a-zà-öø-ÿœ]')} AS lat, {cnt('[àâäéèêëïîôöùûüÿçœæ]')} AS fr, {cnt('[äöüß]')} AS de FROM (SELECT lang, lower(coalesce(text, '')) AS t FROM documents)) GROUP BY 1, 2""",
         "x13_claims": "SELECT claims, count(*) AS documents FROM (SELECT coalesce(len(list_filter(string_split(regexp_replace(regexp_replace(text, '([。！？!?；;])', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda p: trim(p, ' ') <> '')), 0)::INTEGER AS claims FROM documents) GROUP BY 1",
         "x15_isbn": """SELECT DISTINCT code, (list_sum(list_transform(range(1, 14), lambda i: substring(code, i, 1)::INT * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) = 0 AS valid FROM (SELECT lpad((o_orderkey * 7919)::VARCHAR, 13, '9') AS code FROM orders)""",
-        "s13_segments": "SELECT doc_id, count(*) AS parts, sum(length(trim(part, ' ')))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part FROM documents WHERE text IS NOT NULL) WHERE length(trim(part, ' ')) > 120 GROUP BY 1",
+        "s13_segments": """WITH RECURSIVE p AS (SELECT doc_id, length(part) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (
+            SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' ')), lambda x: length(x) > 60) AS ps FROM documents WHERE text IS NOT NULL))),
+            r(doc_id, k, parts, chars, open) AS (SELECT doc_id, k, 1, n, n FROM p WHERE k = 1 UNION ALL SELECT r.doc_id, p.k, CASE WHEN open + 2 + n > 200 THEN parts + 1 ELSE parts END,
+            CASE WHEN open + 2 + n > 200 THEN chars + n ELSE chars + 2 + n END, CASE WHEN open + 2 + n > 200 THEN n ELSE open + 2 + n END FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1)
+            SELECT doc_id, parts::BIGINT AS parts, chars::BIGINT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS z FROM r) WHERE z = 1""",
         "streaming_sessions": """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts,
             CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
     }

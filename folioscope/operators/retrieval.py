@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.stages import stage
-from folioscope.functions.text import compat, words
+from folioscope.functions.text import char_ngrams, compat, words
 
 #: BM25 saturation and length weight; the constant of reciprocal-rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -86,7 +86,7 @@ def hashed_vectors(df: DataFrame, key: str, text: str, dims: int = 256, sizes: t
     Slot and sign are bits of the sequence's SHA-256, which SQL engines share.
     """
     t = F.trim(F.regexp_replace(F.lower(compat(F.coalesce(F.col(text), F.lit("")))), "\\s+", " "))
-    grams = F.flatten(F.array(*(F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i, n=n: F.substring(F.col("t"), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    grams = F.flatten(F.array(*(F.when(F.length("t") >= n, char_ngrams(F.col("t"), n)).otherwise(F.array().cast("array<string>")) for n in sizes)))
     rows = df.select(key, t.alias("t")).select(key, F.explode_outer(grams).alias("g")).withColumn("h", F.sha2("g", 256))
     slot = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims
     sign = F.when(F.substring("h", 9, 1).isin(*"02468ace"), -1).otherwise(1)

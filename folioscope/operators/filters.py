@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest page.
-MOST_ROWS = 50
+#: Largest page; version of cursors.
+MOST_ROWS, VERSION = 50, 1
 
 
 def equals(filters: dict[str, object]) -> Column:
@@ -50,18 +50,32 @@ def keyset_page(df: DataFrame, keys: list[str], after: tuple | None, limit: int)
     return df.orderBy(*keys).limit(limit + 1)
 
 
-def cursor(filters: dict, last: tuple) -> str:
-    """An opaque cursor bound to its filters."""
-    mark = hashlib.sha256(json.dumps(filters, sort_keys=True).encode()).hexdigest()[:16]
-    return base64.urlsafe_b64encode(json.dumps({"f": mark, "k": list(last)}).encode()).decode()
+def budgeted(limit: int, most: int, left: int) -> int:
+    """A page size that what is left of a budget allows; 0 when nothing is left."""
+    return min(clamp(limit, most), max(0, left))
 
 
-def resume(token: str, filters: dict) -> tuple:
-    """The position of a cursor; an error if it belongs to other filters."""
-    data = json.loads(base64.urlsafe_b64decode(token))
-    if data["f"] != hashlib.sha256(json.dumps(filters, sort_keys=True).encode()).hexdigest()[:16]:
+def _mark(filters: dict) -> str:
+    return hashlib.sha256(json.dumps(filters, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def cursor(filters: dict, last: tuple, kind: str = "keyset") -> str:
+    """An opaque cursor bound to its filters, its kind and its version."""
+    return base64.urlsafe_b64encode(json.dumps({"v": VERSION, "t": kind, "f": _mark(filters), "k": list(last)}).encode()).decode()
+
+
+def resume(token: str, filters: dict, kind: str = "keyset") -> tuple:
+    """The position of a cursor; an error if it is none, of another version or kind, or belongs to other filters."""
+    try:
+        data = json.loads(base64.urlsafe_b64decode(token))
+        position = tuple(data["k"])
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError("no cursor") from e
+    if (data.get("v"), data.get("t")) != (VERSION, kind):
+        raise ValueError("the cursor is of another version or kind")
+    if data.get("f") != _mark(filters):
         raise ValueError("the cursor belongs to other filters")
-    return tuple(data["k"])
+    return position
 
 
 def offset_page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:

@@ -118,6 +118,18 @@ def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """node, depth, reason: what is reached over undirected edges (a, b), and the first path that leads there, a>b>c."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    seen = start.select("node").distinct().withColumn("depth", F.lit(0)).withColumn("reason", F.col("node"))
+    last = seen
+    for d in range(1, depth + 1):
+        step = last.select(F.col("node").alias("a"), "reason").join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("reason").alias("via"))
+        last = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), F.concat("via", F.lit(">"), "node").alias("reason"))
+        seen = seen.unionByName(last)
+    return seen
+
+
 def fingerprint(c: Column, n: int = 120) -> Column:
     """The first n letters, digits and underscores of a text, case kept: equal for near-identical beginnings."""
     return F.substring(F.regexp_replace(c, "[^\\p{L}\\p{N}_]+", ""), 1, n)

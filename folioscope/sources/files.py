@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,14 +11,42 @@ from pyspark.sql.types import StructType
 from folioscope.functions.text import decode_bytes, strip_markup
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False, limit: int | None = None) -> DataFrame:
     """JSON lines by a given schema; blank lines are skipped. tolerant drops corrupt lines, else they are an error."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
-
-
-def write_jsonl(df: DataFrame, path: str, key: str) -> None:
-    """JSON lines in the order of the key."""
-    df.orderBy(key).write.mode("overwrite").json(path)
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
+    return rows if limit is None else rows.limit(limit)
+
+
+def write_jsonl(df: DataFrame, path: str, key: str, force: bool = False) -> bool:
+    """JSON lines in the order of the key, keys of an object sorted; whether anything was written: nothing if the rows are the same as before."""
+    ordered = df.select(*sorted(df.columns)).repartitionByRange(key).sortWithinPartitions(key)
+    return _write_changed(ordered, path, force, lambda w: w.json(path))
+
+
+def write_store(df: DataFrame, path: str, key: str, force: bool = False) -> bool:
+    """Parquet in the order of the key over ranges, so that look-ups by key read a few row groups; nothing if the rows are the same as before."""
+    return _write_changed(df.repartitionByRange(key).sortWithinPartitions(key), path, force, lambda w: w.parquet(path))
+
+
+def _write_changed(df: DataFrame, path: str, force: bool, write: Callable) -> bool:
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    note = jvm.org.apache.hadoop.fs.Path(f"{path}.manifest.json")
+    fs = note.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = None
+    if fs.exists(note):
+        stream = fs.open(note)
+        old = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+    same, now = unchanged(df, old)
+    if same and not force:
+        return False
+    fs.delete(note, False)  # a failed write leaves no manifest that would vouch for it
+    write(df.write.mode("overwrite"))
+    out = fs.create(note, True)
+    out.write(bytearray(now.encode()))
+    out.close()
+    return True
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -25,12 +55,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, extension, size, modified, sha256, duplicates of all files under a folder, hidden and system files left out."""
+def inventory(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """path, name, extension, size, modified, sha256, duplicates of all files under a folder, hidden and system files left out.
+
+    max_files keeps the first ones in the order of their paths: a limit that the user sets.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     files = raw.select("path", name.alias("name"), F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
     files = files.where(~F.col("name").rlike("^\\.|^Thumbs\\.db$"))
+    if max_files is not None:
+        files = files.orderBy("path").limit(max_files)
     same = files.groupBy("sha256").agg((F.count("*") - 1).alias("duplicates"))
     return files.join(same, "sha256").select("path", "name", "extension", "size", "modified", "sha256", "duplicates")
 

@@ -6,7 +6,6 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,11 +49,11 @@ def compat(c: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode's NFKC form. Whole Arrow batches in compiled code: the JVM side has no such function."""
+    """Unicode's NFKC form, in Arrow batches: the JVM side has no such function, and Arrow's own never composes accents."""
 
     @F.arrow_udf("string")
     def normalised(texts: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(texts, form="NFKC")
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
     return normalised(c)
 

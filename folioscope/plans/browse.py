@@ -15,7 +15,7 @@ from folioscope.sources.files import segments
 from folioscope.sources.tables import table
 
 #: Literal forms whose attestations are counted.
-FORMS = ["le miroir", "la lettre", "watermark", "silence", "档案"]
+FORMS = ["le miroir", "la lettre", "watermark", "silence", "档案", "%", "_", "LA LETTRE", "l_ lettre"]
 #: Patterns whose occurrences are counted.
 PATTERNS = {"year": "19[0-9][0-9]", "number_sign": "n°", "page": "(page|p\\.) [0-9]+", "ellipsis": "…"}
 #: Texts whose hashes are hashed together.
@@ -381,7 +381,7 @@ def _sql() -> dict[str, str]:
     return {
         "f1_filters": f"SELECT id, substring(raw_text, 1, 60) AS snippet, length(raw_text) AS n, length(raw_text) > 60 AS truncated FROM {ONCE} WHERE language = 'fr' AND text_role = 'transcription'",
         "f4_interval_overlap": f"SELECT id, year_from, year_to FROM {ONCE} WHERE year_from <= 1955 AND coalesce(year_to, year_from) >= 1950",
-        "f5_attestation": " UNION ALL ".join(f"SELECT '{f}' AS form, sum(CASE WHEN contains({'text' if ord(f[0]) > 0x2E7F else 'lower(text)'}, '{f}') THEN 1 ELSE 0 END)::BIGINT AS n FROM documents" for f in FORMS),
+        "f5_attestation": " UNION ALL ".join(f"SELECT '{f}' AS form, sum(CASE WHEN contains({'text' if ord(f[0]) > 0x2E7F else 'lower(text)'}, lower('{f}')) THEN 1 ELSE 0 END)::BIGINT AS n FROM documents" for f in FORMS),
         "f6_patterns": " UNION ALL ".join(f"SELECT '{k}' AS pattern, sum(n)::BIGINT AS occurrences, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS documents FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents WHERE text IS NOT NULL)" for k, p in PATTERNS.items()),
         "f7_pool_topk": "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM moderation_labels WHERE label = 'ok') ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20",
         "f12_derived_seminar": f"SELECT derived, count(*) AS n, sum(CASE WHEN derived = seminar_id THEN 0 ELSE 1 END)::BIGINT AS differing FROM (SELECT seminar_id, 'seminar.' || regexp_extract(id, '^passage\\.(S[0-9]+)\\.', 1) AS derived FROM {ONCE}) GROUP BY 1",

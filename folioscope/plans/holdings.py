@@ -454,6 +454,60 @@ def e14_directions(spark, d):
     return per.groupBy(way.alias("direction")).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("mrr"), 4).alias("mrr"))
 
 
+@query(f"""WITH s AS (SELECT DISTINCT witness_id AS w, seminar_id AS m FROM {ONCE} WHERE witness_id IS NOT NULL AND seminar_id IS NOT NULL), l AS (SELECT DISTINCT m.witness_id AS w, p.seminar_id AS m FROM passage_source_map m JOIN {ONCE} p ON p.id = m.passage_id WHERE m.witness_id IS NOT NULL AND p.seminar_id IS NOT NULL),
+    j AS (SELECT w, count(*) FILTER (a AND b) / count(*) AS jaccard FROM (SELECT coalesce(s.w, l.w) AS w, s.w IS NOT NULL AS a, l.w IS NOT NULL AS b FROM s FULL OUTER JOIN l ON s.w = l.w AND s.m = l.m) GROUP BY 1) SELECT count(*) AS witnesses, round(avg(jaccard), 6) AS mean, round(min(jaccard), 6) AS least FROM j""")
+def a18_mean_jaccard(spark, d):
+    """How far two accounts of each witness's seminars agree, and the mean over witnesses."""
+    p = _passages(spark, d, "witness_id", "seminar_id", where="seminar_id is not null")
+    own = p.where("witness_id is not null").select("witness_id", "seminar_id").distinct().withColumn("a", F.lit(True))
+    m = table(spark, d, "passage_source_map").where("witness_id is not null").select(F.col("passage_id").alias("id"), "witness_id").distinct()
+    said = p.select("id", "seminar_id").join(m, "id").select("witness_id", "seminar_id").distinct().withColumn("b", F.lit(True))
+    j = own.join(said, ["witness_id", "seminar_id"], "full_outer").groupBy("witness_id").agg((F.count_if(F.col("a") & F.col("b")) / F.count("*")).alias("j"))
+    return j.agg(F.count("*").alias("witnesses"), F.round(F.avg("j"), 6).alias("mean"), F.round(F.min("j"), 6).alias("least"))
+
+
+@query("SELECT page, doc_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) - 1) // 15 AS page FROM documents) WHERE page < 3")
+def k7_offset_cursor(spark, d):
+    """Pages by offset; the cursor that leads on holds the offset and its filters."""
+    docs, token, pages = table(spark, d, "documents").select("doc_id", "n_chars"), None, []
+    for n in range(3):
+        (offset,) = (0,) if token is None else filters.resume(token, {}, "offset")
+        rows = filters.offset_page(docs, [F.desc("n_chars"), "doc_id"], offset, 15).collect()  # a page
+        pages += [(n, r.doc_id) for r in rows]
+        token = filters.cursor({}, (offset + 15,), "offset")
+    return spark.createDataFrame(pages, "page long, doc_id long")
+
+
+@query(f"""WITH a AS (SELECT id, session_id, seminar_id, witness_id FROM {ONCE}), s AS (SELECT DISTINCT id FROM sessions WHERE id IS NOT NULL), m AS (SELECT DISTINCT id FROM seminars WHERE id IS NOT NULL), w AS (SELECT DISTINCT id FROM witnesses WHERE id IS NOT NULL), e AS (SELECT DISTINCT id FROM spec WHERE id IS NOT NULL), l AS (SELECT passage_id, witness_id FROM passage_source_map)
+    SELECT 'passage>session' AS link, count(*) AS n FROM a WHERE session_id IS NOT NULL AND session_id NOT IN (FROM s) UNION ALL SELECT 'passage>seminar', count(*) FROM a WHERE seminar_id IS NOT NULL AND seminar_id NOT IN (FROM m) UNION ALL SELECT 'passage>witness', count(*) FROM a WHERE witness_id IS NOT NULL AND witness_id NOT IN (FROM w)
+    UNION ALL SELECT 'map>passage', count(*) FROM l WHERE passage_id IS NOT NULL AND passage_id NOT IN (SELECT id FROM a WHERE id IS NOT NULL) UNION ALL SELECT 'map>witness', count(*) FROM l WHERE witness_id IS NOT NULL AND witness_id NOT IN (FROM w) UNION ALL SELECT 'session>seminar', count(*) FROM sessions WHERE seminar_id IS NOT NULL AND seminar_id NOT IN (FROM m)
+    UNION ALL SELECT 'entity>entity', count(*) FROM (SELECT unnest(distinction_from) AS x FROM spec) WHERE x IS NOT NULL AND x NOT IN (FROM e) UNION ALL SELECT 'orphan_session', count(*) FROM s WHERE id NOT IN (SELECT session_id FROM a WHERE session_id IS NOT NULL) UNION ALL SELECT 'orphan_witness', count(*) FROM w WHERE id NOT IN (SELECT witness_id FROM a WHERE witness_id IS NOT NULL)
+    UNION ALL SELECT 'orphan_passage', count(*) FROM a WHERE id NOT IN (SELECT passage_id FROM l WHERE passage_id IS NOT NULL) UNION ALL SELECT 'status_drift', count(*) FROM passages WHERE status NOT IN ('recovered', 'active') UNION ALL SELECT 'link_state_drift', count(*) FROM witnesses WHERE passage_link_state NOT IN ('linked', 'none')""")
+def c13_vault_links(spark, d):
+    """Links that lead nowhere, records nothing leads to, and values outside their lists."""
+    p, m = _passages(spark, d, "session_id", "seminar_id", "witness_id"), table(spark, d, "passage_source_map")
+    s, w, spec = table(spark, d, "sessions"), table(spark, d, "witnesses"), table(spark, d, "spec")
+    keys = lambda df, c="id": df.where(F.col(c).isNotNull()).select(F.col(c).alias("k")).distinct()
+    broken = lambda df, c, to, k="id": df.where(F.col(c).isNotNull()).select(F.col(c).alias("k")).join(keys(to, k), "k", "left_anti")
+    rows = {
+        "passage>session": broken(p, "session_id", s), "passage>seminar": broken(p, "seminar_id", table(spark, d, "seminars")), "passage>witness": broken(p, "witness_id", w), "map>passage": broken(m, "passage_id", p), "map>witness": broken(m, "witness_id", w), "session>seminar": broken(s, "seminar_id", table(spark, d, "seminars")),
+        "entity>entity": broken(spec.select(F.explode("distinction_from").alias("x")), "x", spec), "orphan_session": keys(s).join(keys(p, "session_id"), "k", "left_anti"), "orphan_witness": keys(w).join(keys(p, "witness_id"), "k", "left_anti"), "orphan_passage": keys(p).join(keys(m, "passage_id"), "k", "left_anti"),
+        "status_drift": table(spark, d, "passages").where(~F.col("status").isin("recovered", "active")), "link_state_drift": w.where(~F.col("passage_link_state").isin("linked", "none")),
+    }
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("link"), "n") for k, df in rows.items()])
+
+
+@query(f"WITH {_V}, r AS (SELECT g.query, count(v.rank) / count(*) AS recall, count(*) AS gold, count(v.rank) FILTER (v.rank <= 5) / count(*) AS half FROM g LEFT JOIN v ON v.query = g.query AND v.item = g.item GROUP BY 1) SELECT query, round(recall / ({search.TOP} * 1.0 / (SELECT count(*) FROM embeddings)), 3) AS lift, round(half / nullif(recall, 0), 4) AS retention FROM r")
+def e8_retention(spark, d):
+    """Lift over random draws, and what of the recall a list half as long keeps."""
+    run, gold = search.r16_vector_topk(spark, d), search._gold(spark, d)
+    n = table(spark, d, "embeddings").count()
+    size = gold.groupBy("query").agg(F.count("*").alias("gold"))
+    hits = run.join(gold.select("query", "item"), ["query", "item"], "left_semi").groupBy("query").agg(F.count("*").alias("a"), F.count_if(F.col("rank") <= search.TOP // 2).alias("b"))
+    r = size.join(hits, "query", "left").na.fill(0, ["a", "b"])
+    return r.select("query", F.round(F.col("a") / F.col("gold") / (search.TOP / n), 3).alias("lift"), F.round(F.col("b") / F.nullif(F.col("a"), F.lit(0)), 4).alias("retention"))
+
+
 def queries() -> dict:
     return dict(query.functions)
 

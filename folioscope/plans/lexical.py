@@ -396,6 +396,38 @@ def a14_mention_stats(spark, d):
     return stats.join(first, "entity")
 
 
+EXACT = ["miroir", "fleuve vivant", "ruisseau", "la lettre"]
+_EXACT = [w for t in EXACT for w in terms_of(t, "fr", 1, [t])]
+
+
+@query(f"WITH {_sql(_EXACT, limit=300)} SELECT doc, round(max(1.0 / rank), 6) AS score, row_number() OVER (ORDER BY round(max(1.0 / rank), 6) DESC, doc)::INTEGER AS rank FROM ranked GROUP BY doc QUALIFY row_number() OVER (ORDER BY round(max(1.0 / rank), 6) DESC, doc) <= 50")
+def r12_exact(spark, d):
+    """Passages by the best reciprocal rank among the exact lists of a query's terms."""
+    lists = index.search(_index(spark, d), _EXACT, None, 300)
+    score = lists.groupBy("doc").agg(F.round(F.max(1.0 / F.col("rank")), 6).alias("score")).withColumn("q", F.lit(0))
+    return retrieval.ranked(score, "q", "score", "doc", 50).select("doc", "score", "rank")
+
+
+_ORDERED = [w for k, t in enumerate(EXACT) for w in terms_of(str(k), "fr", 2, [t])]
+
+
+@query(f"WITH {_sql(_ORDERED, limit=40)}, f AS (SELECT doc, min(struct_pack(k := query::INTEGER, r := rank)) AS place FROM ranked GROUP BY 1) SELECT doc, row_number() OVER (ORDER BY place, doc)::INTEGER AS rank FROM f QUALIFY row_number() OVER (ORDER BY place, doc) <= 60")
+def r13_lexical(spark, d):
+    """The query's list, then those of the names it has: each passage at its first place."""
+    lists = index.search(_index(spark, d), _ORDERED, None, 40, phrases=frozenset())
+    first = lists.groupBy("doc").agg(F.min(F.struct(F.col("query").cast("int").alias("k"), "rank")).alias("at")).withColumn("q", F.lit(0))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("at", "doc"))).where("rank <= 60").select("doc", "rank")
+
+
+@query(f"""{_FUSED}, k AS (SELECT query, item, score FROM fused JOIN {ONCE} ON id = item WHERE text_role = 'note' AND seminar_id < 'seminar.S20') SELECT q.query, item, score, item IS NULL AS warned FROM (SELECT unnest({_list(list(ENTITIES))}) AS query) q LEFT JOIN (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= 3) k USING (query)""")
+def f10_constrained(spark, d):
+    """Fused hits that meet constraints, three of each query; a query left without any is named with a warning."""
+    fused = _components(spark, d).groupBy("query", "item").agg(F.round(F.sum(1.0 / (retrieval.RRF + F.col("rank"))), 9).alias("score"))
+    kept = fused.join(_passages(spark, d, where=(F.col("text_role") == "note") & (F.col("seminar_id") < "seminar.S20")).withColumnRenamed("id", "item"), "item")
+    top = retrieval.ranked(kept, "query", "score", "item", 3).drop("rank")
+    return spark.createDataFrame([(e,) for e in ENTITIES], "query string").join(top, "query", "left").select("query", "item", "score", F.col("item").isNull().alias("warned"))
+
+
 def queries() -> dict:
     return dict(query.functions)
 

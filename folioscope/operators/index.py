@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from folioscope.functions.stages import stage
 from folioscope.operators.retrieval import K1, B
 
 _BUILT: dict[tuple, Index] = {}
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
 @dataclass(frozen=True)
@@ -52,8 +54,10 @@ def kept(name: str, source: DataFrame, tokens: DataFrame) -> Index:
 
 
 def asked(spark: SparkSession, rows: list[tuple], schema: str = "query string, part string, tier int, term string, ord int") -> DataFrame:
-    """What is looked for, made on the driver from what users type."""
-    return spark.createDataFrame(rows, schema)
+    """What is looked for, made on the driver from what users type: a local relation, whose size the planner knows."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    columns = zip(*rows) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, _KINDS[k]) for n, k, c in zip(names, kinds, columns)}))
 
 
 def reads(index: Index, wanted: list[tuple]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text as X
 from folioscope.operators import filters, windows
+from folioscope.operators.mentions import mentions
 from folioscope.plans.sql import ONCE, words
 from folioscope.sources.files import segments
 from folioscope.sources.tables import table
@@ -125,24 +126,8 @@ def j7_other_aliases(spark, d):
 
 def j8_all_mentions(spark, d):
     """Documents by entity, for names of any shape: Chinese ones anywhere in the packed text, others at word boundaries (also beside Chinese)."""
-
-    def apart(c):
-        return X.words(F.regexp_replace(c, "(\\p{IsHan}+)", " $1 "))
-
-    han = F.col("folded").rlike("\\p{IsHan}")
-    names = _aliases(spark, d).where("folded <> ''").select("id", han.alias("han"), F.when(han, F.replace("folded", F.lit(" "), F.lit(""))).otherwise(F.array_join(apart(F.col("folded")), " ")).alias("form")).distinct()
-    names = names.withColumn("n", F.when(F.col("han"), F.length("form")).otherwise(F.size(F.split("form", " "))))
-    sizes = sorted(tuple(r) for r in names.select("han", "n").distinct().collect())  # a few lengths, whatever the number of names
-    docs = table(spark, d, "documents").select("doc_id", apart(F.col("text")).alias("ws")).withColumn("packed", F.array_join("ws", ""))
-
-    def forms(han: bool, n: int):
-        whole = F.length("packed") if han else F.size("ws")
-        at = F.when(whole >= n, F.sequence(F.lit(1), whole - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.struct(F.lit(han).alias("han"), (F.substring("packed", i, F.lit(n)) if han else F.array_join(F.slice("ws", i, n), " ")).alias("form"))))
-
-    seen = [docs.where(F.col("packed").rlike("\\p{IsHan}") if h else F.lit(True)).select("doc_id", F.inline(forms(h, n))) for h, n in sizes]
-    met = reduce(DataFrame.unionByName, seen) if seen else docs.select("doc_id", F.lit(False).alias("han"), F.lit("").alias("form")).limit(0)
-    return met.join(names.select("id", "han", "form"), ["han", "form"]).groupBy("id").agg(F.countDistinct("doc_id").alias("documents"))
+    found = mentions(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _aliases(spark, d).select("id", "alias"))
+    return found.groupBy("id").agg(F.countDistinct("doc_id").alias("documents"))
 
 
 def j12_layers(spark, d):

@@ -98,7 +98,7 @@ def r21_fingerprints(spark, d):
     """Passages that a fingerprint keeps, and those it drops as near duplicates of one of the same witness."""
     p = _passages(spark, d, "witness_id", retrieval.fingerprint(F.col("raw_text")).alias("print"))
     groups = p.groupBy("print", "witness_id").agg(F.count("*").alias("n"))
-    return groups.select(F.explode(F.array(F.struct(F.lit(False).alias("dropped"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(True).alias("dropped"), (F.col("n") - 1).alias("n")))).alias("x")).groupBy("x.dropped").agg(F.sum("x.n").alias("n"))
+    return groups.select(F.explode(F.array(F.struct(F.lit(False).alias("dropped"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(True).alias("dropped"), (F.col("n") - 1).alias("n")))).alias("x")).where("x.n > 0").groupBy("x.dropped").agg(F.sum("x.n").alias("n"))
 
 
 def r23_hops(spark, d):

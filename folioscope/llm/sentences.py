@@ -34,6 +34,8 @@ ROUNDS, BACK_OFF = 6, 2.0
 COMMA_WEIGHT, LEAST_WEIGHT = 0.25, 0.02
 #: Largest overall log odds that a word's are compared with.
 MOST_ODDS = 1.0
+#: Prior log odds against a boundary where the words around tell that the sentence goes on; the posteriors decide.
+DOUBT = 6.0
 # Verbs that report what a closed quotation said.
 REPORTING = ("喊道", "说道", "问道", "答道", "写道", "叫道", "回答", "喊", "说", "问", "答", "道", "dit", "demand", "répond", "cri", "écri", "murmur", "not", "ajout", "lanc")
 _INVIS = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u034f\u061c\u180e"
@@ -119,7 +121,7 @@ def _mark(lang: str, marks: str, blank: bool) -> int:
 
 
 #: A gap: its end, kind, mark class, word and shape before, word and shape after. Kind 0 is an open gap after a mark, 2 one
-#: at a blank, 3 one that ends no sentence, 1 a line end and 4 a line end after a full mark.
+#: at a blank, 3 one after which words tell that the sentence goes on, 1 a line end and 4 a line end after a full mark.
 Gap = tuple[int, int, int, int, int, int, int]
 
 
@@ -148,13 +150,14 @@ def gaps_of(text: str, zh: bool) -> tuple[list[Gap], list[int], list[int]]:
                 marks = m[0] if len(m[0]) == 1 else _plain(m[0]).replace(" ", "")
                 w, s = _right(body, taken, zh)
                 l, ls = _left(body, m.start())
-                never = (
-                    w[:1] in _NEVER_NEXT
-                    or (zh and not _FULL.intersection(m[0]) and "…" not in marks and marks[:1] == ".")
-                    or (marks == "." and len(l) == 3 and l[:2] == "._" and l[2].isupper())  # an initial
-                    or (marks[-1] in "»”’」』\"" and marks[0] not in ".。" and w.removeprefix("X").startswith(REPORTING))
-                )
-                gaps.append((at + end, 3 if never else 0, _mark(lang, marks, taken > end), _slot(before, l), ls, _slot(after, w), s))
+                goes_on = (
+                    "n" if w[:1] in _NEVER_NEXT
+                    else "p" if zh and not _FULL.intersection(m[0]) and "…" not in marks and marks[:1] == "."
+                    else "i" if marks == "." and len(l) == 3 and l[:2] == "._" and l[2].isupper()  # an initial
+                    else "r" if marks[-1] in "»”’」』\"" and marks[0] not in ".。" and w.removeprefix("X").startswith(REPORTING)
+                    else ""
+                )
+                gaps.append((at + end, 3 if goes_on else 0, _mark(lang, marks, taken > end), _slot(before, l), ls, _slot(after, w), s))
                 marked.add(end)
             if zh and " " in body or "\u3000" in body:
                 for m in _ZH_BLANK.finditer(body):
@@ -221,7 +224,7 @@ def posteriors(model: Model, size: np.ndarray, end: np.ndarray, kind: np.ndarray
     text = np.repeat(np.arange(n), size)
     col = np.arange(len(end)) - np.repeat(np.cumsum(size) - size, size)
     e = model.emission(mark, left, left_shape, right, right_shape)
-    e = np.where((kind == 1) | (kind == 4), 40.0, np.where(kind == 3, -40.0, e))
+    e = np.where((kind == 1) | (kind == 4), 40.0, np.where(kind == 3, e - DOUBT, e))
     before = np.where(col == 0, 0, np.concatenate([[0], end[:-1]]))
     cls = _length_class(end - before)
     # Blanks are gaps only in texts none of whose marks ends a sentence.

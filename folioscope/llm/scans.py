@@ -180,10 +180,16 @@ def spellings(counts: DataFrame) -> DataFrame:
     return counts.where("kind = 'word'").groupBy(F.lower("w").alias("form")).agg(F.sum("n").alias("n"), F.max_by("w", F.struct("n", "w")).alias("cased"))
 
 
-def frequent_forms(words: DataFrame) -> DataFrame:
-    """skeleton, right, right_n, right_cased: the most frequent form of pure letters of each group of look-alikes."""
+def listed_forms(words: DataFrame) -> DataFrame:
+    """skeleton, right, right_n, right_cased: the forms of pure letters of each group of look-alikes."""
     plain = words.where(F.col("form").rlike("^[\\p{IsLatin}\\p{M}]{2,}$"))
-    return plain.groupBy(skeleton(F.col("form")).alias("skeleton")).agg(F.max(F.struct("n", "form", "cased")).alias("top")).select("skeleton", F.col("top.form").alias("right"), F.col("top.n").alias("right_n"), F.col("top.cased").alias("right_cased"))
+    return plain.select(skeleton(F.col("form")).alias("skeleton"), F.col("form").alias("right"), F.col("n").alias("right_n"), F.col("cased").alias("right_cased"))
+
+
+def frequent_forms(words: DataFrame) -> DataFrame:
+    """skeleton, right, right_n, right_cased: the most frequent form of each group."""
+    top = listed_forms(words).groupBy("skeleton").agg(F.max(F.struct("right_n", "right", "right_cased")).alias("top"))
+    return top.select("skeleton", "top.right", "top.right_n", "top.right_cased")
 
 
 def _recase(word: Column, right: Column, cased: Column) -> Column:
@@ -206,23 +212,29 @@ def cut_words(running: DataFrame, words: DataFrame, forms: DataFrame) -> DataFra
     return cut.select("id", "line_no", "left", "rest", fixed.alias("fixed"), own.alias("own"))
 
 
-def misread_words(running: DataFrame, cuts: DataFrame, words: DataFrame, forms: DataFrame, counts: DataFrame) -> DataFrame:
-    """id, line_no, word, fixed of words with misread characters, outside cut words."""
+def misread_words(running: DataFrame, cuts: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
+    """id, line_no, word, fixed of words with misread characters, outside cut words.
+
+    Every frequent form of a word's group may be meant: the one that its neighbours support most often is, and the most
+    frequent one where they say nothing.
+    """
     page = Window.partitionBy("id").orderBy("line_no")
     lines = running.join(cuts.select("id", "line_no", F.lit(True).alias("cut")), ["id", "line_no"], "left").withColumn("cut_before", F.lag("cut").over(page))
     body = F.when(F.col("cut"), F.regexp_replace("line", f"{_WORD}[{HYPHENS}]$", "")).otherwise(F.col("line"))
     body = F.when(F.col("cut_before"), F.regexp_replace(body, f"^{_WORD}", "")).otherwise(body)
     tokens = lines.select("id", "line_no", _runs(_clean(body), _WORD).alias("ws")).select("id", "line_no", F.posexplode("ws").alias("i", "word"), "ws")
-    tokens = tokens.select("id", "line_no", "word", F.lower(F.get("ws", F.col("i") - 1)).alias("before"), F.lower(F.get("ws", F.col("i") + 1)).alias("after"))
+    tokens = tokens.select("id", "line_no", "i", "word", F.lower(F.get("ws", F.col("i") - 1)).alias("before"), F.lower(F.get("ws", F.col("i") + 1)).alias("after"))
     noisy = F.col("form").rlike("[0-9!|]")
-    rare = words.where(~F.col("form").contains("-") & ((F.length("form") > 2) | noisy & (F.length("form") > 1))).withColumn("skeleton", skeleton(F.col("form"))).join(forms, "skeleton")
+    rare = words.where(~F.col("form").contains("-") & ((F.length("form") > 2) | noisy & (F.length("form") > 1))).withColumn("skeleton", skeleton(F.col("form"))).join(listed_forms(words), "skeleton")
     rare = rare.where((F.col("form") != F.col("right")) & ~F.col("form").rlike("^[0-9]+[eèé]?r?$|^\\p{L}[0-9]+$") & (noisy | (F.col("right_n") >= OFTEN) & (F.col("right_n") >= TIMES * F.col("n"))))
     found = tokens.join(rare.select("form", "n", "right", "right_n", "right_cased"), F.lower("word") == F.col("form"))
     wanted = found.select(F.explode(F.array(F.concat_ws(" ", "before", "right"), F.concat_ws(" ", "right", "after"))).alias("pair")).distinct()
     counted = counts.where("kind = 'pair'").select(F.col("w").alias("pair"), F.col("n").alias("m")).join(wanted, "pair", "left_semi")
     found = found.withColumns({"p1": F.concat_ws(" ", "before", "right"), "p2": F.concat_ws(" ", "right", "after")}).join(counted.toDF("p1", "m1"), "p1", "left").join(counted.toDF("p2", "m2"), "p2", "left")
-    supported = F.col("word").rlike("[0-9!|]") | F.col("m1").isNotNull() | F.col("m2").isNotNull() | (F.col("right_n") >= 10 * TIMES * F.col("n"))
-    return found.where(supported).select("id", "line_no", "word", _recase(F.col("word"), F.col("right"), F.col("right_cased")).alias("fixed"))
+    support = F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
+    best = found.groupBy("id", "line_no", "i", "word").agg(F.max(F.struct(support.alias("m"), "right_n", "right", "right_cased", "n")).alias("b")).select("id", "line_no", "word", "b.*")
+    supported = F.col("word").rlike("[0-9!|]") | (F.col("m") > 0) | (F.col("right_n") >= 10 * TIMES * F.col("n"))
+    return best.where(supported).select("id", "line_no", "word", _recase(F.col("word"), F.col("right"), F.col("right_cased")).alias("fixed"))
 
 
 def repair(pages: DataFrame, texts: DataFrame, key: str = "id", column: str = "raw_text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -233,7 +245,7 @@ def repair(pages: DataFrame, texts: DataFrame, key: str = "id", column: str = "r
     words = stage(spellings(counts), "spellings")
     forms = frequent_forms(words)
     cuts = stage(cut_words(running, words, forms), "cuts")
-    return lines, cuts, misread_words(running, cuts, words, forms, counts)
+    return lines, cuts, misread_words(running, cuts, words, counts)
 
 
 def noise_places(pages: DataFrame, texts: DataFrame, key: str = "id", column: str = "raw_text") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm.near import near_duplicate_classes, near_duplicate_pairs
+from folioscope.llm.near import SHINGLE, SIMILARITY, near_duplicate_classes, near_duplicate_pairs
+from folioscope.llm.sql import near_sql
 from folioscope.sources.tables import table
 
 
@@ -23,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_found": near_sql(SIMILARITY, SHINGLE)}

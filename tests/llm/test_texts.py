@@ -497,3 +497,22 @@ def test_alignment_estimates_sentences_on_all_texts(spark, monkeypatch):
     rows = [("a", "s", "fr", None, "Le miroir tombe. Il pleut."), ("b", "s", "zh", None, "镜子掉了。下雨了。"), ("c", "t", "fr", None, "Une lettre. Une autre."), ("d", None, "en", None, "One letter. Another."), ("e", "t", "fr", "edition", "Une note. Une autre.")]
     alignment.aligned(spark.createDataFrame(rows, "id string, session_id string, language string, text_role string, raw_text string")).count()
     assert seen == {"a", "b", "c", "d"}
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p7_found"])
+def test_oracle(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from folioscope.llm import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for p in glob.glob(f"{folder}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    query, sql = ({k: x for m in catalogue.modules() for k, x in getattr(m, what)().items()}[name] for what in ("queries", "oracle_sql"))
+    assert sorted((r.id_a, r.id_b) for r in query(spark, folder).collect()) == sorted(con.sql(sql).fetchall())

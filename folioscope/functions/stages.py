@@ -43,12 +43,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete a stage table that nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        _WRITTEN[:] = [x for x in _WRITTEN if not folder.endswith(x[1].rsplit("/", 1)[1])]
-        _delete(df.sparkSession, folder)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._stage = path
+    return staged
+
+
+def drop_stage(*stages: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more, as soon as what was made of them is written itself."""
+    for df in stages:
+        path = getattr(df, "_stage", None)
+        if path is not None:
+            _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+            _delete(df.sparkSession, path)

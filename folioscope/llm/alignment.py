@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.stages import stage
+from folioscope.functions.stages import drop_stage, stage
 from folioscope.operators.windows import numbered_evenly
 from folioscope.llm.arrow import collected, map_batches, mix
 from folioscope.llm.sentences import Model, _flat, _tidy, estimate, gap_table, posteriors
@@ -134,7 +134,9 @@ def seed_pairs(sentences: DataFrame) -> DataFrame:
     every = few.unionByName(many.withColumn("place", place).drop("seq"))
     side = lambda zh, name, words: every.where("zh" if zh else "not zh").select("k", "place", F.struct("id", "end_char").alias(name), F.col("words").alias(words))
     met = side(False, "fu", "f").join(side(True, "zu", "z"), ["k", "place"])
-    return stage(met.dropDuplicates(["fu", "zu"]).select("f", "z"), "seeds")
+    seeds = stage(met.dropDuplicates(["fu", "zu"]).select("f", "z"), "seeds")
+    drop_stage(keyed)
+    return seeds
 
 
 def _products(b: pa.RecordBatch, rows: int = 2000):
@@ -349,7 +351,8 @@ def link(pairs: DataFrame) -> DataFrame:
         if best.isEmpty():
             break
         taken = best if taken is None else taken.unionByName(best)
-        left = stage(left.join(best.select("fu"), "fu", "left_anti").join(best.select("zu"), "zu", "left_anti"), "open")
+        before, left = left, stage(left.join(best.select("fu"), "fu", "left_anti").join(best.select("zu"), "zu", "left_anti"), "open")
+        drop_stage(before)
     return taken if taken is not None else left.select("fu", "zu")
 
 
@@ -464,7 +467,10 @@ def aligned(passages: DataFrame, languages: tuple[str, str] = ("fr", "zh"), orig
     text = F.when(F.col("both") & F.col("language").isin(*languages), F.col("raw_text"))
     gaps = gap_table(plain.select("id", "session_id", "language", "raw_text").join(both, "session_id", "left").withColumn("text", text), "id", "raw_text", "language", ("session_id", "text", "language"))
     sentences = sentence_table(gaps.where("text is not null").drop("begins", "continues").dropDuplicates(["session_id", "id"]), estimate(gaps), languages[1])
-    lex = lexemes(sentences, translation_table(seed_pairs(sentences)))
+    drop_stage(gaps)
+    seeds = seed_pairs(sentences)
+    lex = lexemes(sentences, translation_table(seeds))
+    drop_stage(seeds, sentences)
     weights = weights_of(lex)
     large = stage(lex.groupBy("session").count().where(F.col("count") > LOCAL).select("session"), "large")
     found = linked_in_tasks(lex.join(large, "session", "left_anti"), weights)

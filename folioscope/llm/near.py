@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.stages import stage
+from folioscope.functions.stages import drop_stage, stage
 from folioscope.llm.arrow import code_points, map_batches, mix
 from folioscope.llm.lookalike import LEAST, corpus_classes, rewriter
 
@@ -216,7 +216,9 @@ def _buckets(paths: DataFrame) -> DataFrame:
     """
     walked = stage(paths, "paths")
     met = walked.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(walked.join(met, "path").select("code", "path", "n"), "buckets")
+    buckets = stage(walked.join(met, "path").select("code", "path", "n"), "buckets")
+    drop_stage(walked)
+    return buckets
 
 
 def _close(rows: DataFrame, prints: DataFrame) -> DataFrame:

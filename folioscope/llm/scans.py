@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.stages import stage
+from folioscope.functions.stages import drop_stage, stage
 from folioscope.llm.arrow import map_batches
 
 # Glyphs that scanners confuse, brought to one; then letters that look like two others.
@@ -239,7 +239,9 @@ def misread_words(running: DataFrame, cuts: DataFrame, words: DataFrame, counts:
 
 def repair(pages: DataFrame, texts: DataFrame, key: str = "id", column: str = "raw_text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classified lines, cut words and misread words of pages; texts (the pages among them) give the word statistics."""
-    lines = stage(classify(lines_of(pages, key, column)), "lines")
+    marked = lines_of(pages, key, column)
+    lines = stage(classify(marked), "lines")
+    drop_stage(marked)
     running = lines.where("kind is null").select("id", "line_no", "line")
     counts = word_counts(texts, column)
     words = stage(spellings(counts), "spellings")

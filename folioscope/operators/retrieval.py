@@ -1,38 +1,21 @@
-"""Retrieval: postings, BM25, phrases, ladders, vectors, fusion and graph expansion."""
+"""Retrieval: ranks, vectors, fusion, fingerprints and graph expansion."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.stages import stage
-from folioscope.functions.text import char_ngrams, compat, words
+from folioscope.functions.text import char_ngrams, compat
 
 #: BM25 saturation and length weight; the constant of reciprocal-rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, term, tf, dl of every document."""
-    tokens = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("ws")).select("doc", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    return tokens.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def term_stats(index: DataFrame) -> DataFrame:
-    """term, df, cf."""
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
-def query_terms(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
-    """query, term of a few typed queries."""
-    rows = spark.createDataFrame(sorted(queries.items()), "query string, text string")
-    return rows.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-
-
 def ranked(df: DataFrame, query: str, score: str, item: str, k: int) -> DataFrame:
     """The k best per query with their rank; ties by item."""
     w = Window.partitionBy(query).orderBy(F.desc(score), item)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.operators import evaluation, filters, retrieval, windows
+from folioscope.operators import evaluation, filters, index, queries, retrieval, windows
 from folioscope.sources import files
 from folioscope.streaming import ingest
 
@@ -79,7 +79,8 @@ def test_windows(spark):
 def test_bm25_against_python(spark):
     docs = [(1, "a b b c"), (2, "a a"), (3, "c d"), (4, None), (5, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.query, r.doc): r.score for r in retrieval.bm25(df, "doc_id", "text", retrieval.query_terms(spark, {"q": "a b"})).collect()}
+    built = index.build(df.select(F.lit("").alias("part"), F.col("doc_id").alias("doc"), X.words(F.col("text")).alias("ws")))
+    got = {(r.query, r.doc): r.score for r in index.scores(built, [("q", "", 0, "a", 0), ("q", "", 0, "b", 1)]).collect()}
     tokens = {i: (t or "").split() for i, t in docs}
     avg, n = sum(map(len, tokens.values())) / 5, 5
     for i, ws in tokens.items():
@@ -92,8 +93,15 @@ def test_bm25_against_python(spark):
 
 
 def test_retrieval(spark):
-    docs = spark.createDataFrame([(1, "voix très basse"), (2, "basse voix"), (3, "voix")], "d int, t string")
-    assert {(r.doc, r.tier) for r in retrieval.ladder(docs, "d", "t", {"q": "voix basse"}).collect()} == {(1, 2), (2, 2)}
+    docs = spark.createDataFrame([(1, "voix très basse"), (2, "basse voix"), (3, "voix"), (4, "la voix basse")], "d int, t string")
+    built = index.build(docs.select(F.lit("fr").alias("part"), F.col("d").alias("doc"), X.words(F.col("t")).alias("ws")))
+    wanted = queries.wanted_of("q", "fr", "voix basse") + queries.wanted_of("none", "fr", "zzz voix") + queries.wanted_of("elided", "fr", "l'voix")
+    assert {(r.query, r.doc, r.tier) for r in index.search(built, wanted, None, 10).collect()} == {("q", 4, 1)}
+    pool = spark.createDataFrame([("q", 1), ("q", 2), ("q", 3)], "query string, doc int")  # tiers are chosen within the pool
+    assert [(r.doc, r.tier, r["rank"]) for r in index.search(built, wanted, pool, 10).orderBy("rank").collect()] == [(2, 2, 1), (1, 2, 2)]
+    assert {(r.query, r.n) for r in index.prevalence(built, wanted).collect()} == {("q", 1)}
+    assert queries.elisions("l'Autre de l’être") == ["l", "autre", "lautre", "de", "etre", "letre"]
+    assert queries.bigrams("镜子里a b") == ["镜子", "子里", "a", "b"]
     lists = spark.createDataFrame([("q", "L", "p1", 1), ("q", "L", "p2", 2), ("q", "G", "p2", 1)], "query string, component string, item string, rank int")
     assert retrieval.fused(lists, 2).orderBy("rank").first()["item"] == "p2"
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "a string, b string")
@@ -196,3 +204,38 @@ def test_numbers_of_groups_of_any_size(spark, partitions):
     for g, o in sorted(rows, key=lambda r: (r[0] or "", r[1])):
         want.setdefault(g, []).append(o)
     assert sorted((str(r.g), r.seq, r.o) for r in got) == sorted((str(g), k + 1, o) for g, os in want.items() for k, o in enumerate(os))
+
+
+def test_vectors_against_brute_force(spark):
+    import numpy as np
+
+    v = np.random.default_rng(7).normal(size=(300, 8)).round(1)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    asked = df.where("id % 50 = 0").selectExpr("id AS query", "v")
+    got = {(r["query"], r["rank"]): r.item for r in retrieval.vector_topk(df, "id", "v", asked, 4).collect()}
+    for q in range(0, 300, 50):
+        want = sorted((-round(float(v[i] @ v[q]), 6), i) for i in range(300) if i != q)[:4]
+        assert [got[q, k + 1] for k in range(4)] == [i for _, i in want]
+    assert retrieval.vector_topk(df, "id", "v", asked.limit(0), 4).count() == 0 and len(got) == 24
+
+
+def test_postings_are_read_by_term(spark, tmp_path):
+    rows = [(i, f"w{i % 97} w{i % 89} le") for i in range(3000)] + [(-1, None)]
+    spark.createDataFrame(rows, "d int, t string").write.parquet(f"{tmp_path}/t.parquet")
+    source = spark.read.parquet(f"{tmp_path}/t.parquet")
+    first = index.words_index(source, "d", X.words(F.col("t")))
+    assert index.words_index(spark.read.parquet(f"{tmp_path}/t.parquet"), "d", X.words(F.col("t"))) is first and first.sizes[""][0] == 3001
+    plan = index.reads(first, [("q", "", 1, "w5", 0)])._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(term,w5)" in plan
+    spark.createDataFrame(rows[:5], "d int, t string").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert index.words_index(spark.read.parquet(f"{tmp_path}/t.parquet"), "d", X.words(F.col("t"))).sizes[""][0] == 5
+
+
+def test_leave_one_out_and_lanes(spark):
+    lists = spark.createDataFrame([("q", "E", "a", 1), ("q", "L", "b", 1), ("q", "L", "a", 2)], "query string, component string, item string, rank int")
+    gold = spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "z")], "query string, item string")
+    assert {r.component: r.marginal for r in evaluation.leave_one_out(lists, gold, ["E", "L"], 10).collect()} == {"E": 0.0, "L": 0.25}
+    lane = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c")], "lane string, item string")
+    run = spark.createDataFrame([("x", "a", 1), ("x", "n", 2), ("x", "b", 3)], "lane string, item string, rank int")
+    assert {r.lane: (r.size, r.recall) for r in evaluation.lane_recall(run, lane, 1).collect()} == {"x": (2, 1.0), "y": (1, 0.0)}

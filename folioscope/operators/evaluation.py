@@ -48,10 +48,10 @@ def leave_one_out(lists: DataFrame, gold: DataFrame, components: list[str], k: i
     top = score.withColumn("rank", F.row_number().over(Window.partitionBy("config", "query").orderBy(F.desc("score"), "item"))).where(F.col("rank") <= k)
     size = gold.groupBy("query").agg(F.count("*").alias("size"))
     hits = top.join(gold, ["query", "item"], "left_semi").groupBy("config", "query").agg(F.count("*").alias("hits"))
-    every = size.join(spark.createDataFrame([(c,) for c in sets], "config string"))
+    every = size.withColumn("config", F.explode(F.array(*map(F.lit, sets))))
     recall = every.join(hits, ["config", "query"], "left").groupBy("config").agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("size")).alias("recall"))
-    whole = recall.where("config = ''").select(F.col("recall").alias("whole"))
-    return recall.where("config <> ''").join(whole).select(F.col("config").alias("component"), F.round(F.col("whole") - F.col("recall"), 6).alias("marginal"))
+    whole = F.max(F.when(F.col("config") == "", F.col("recall"))).over(Window.partitionBy())  # a row per set
+    return recall.withColumn("whole", whole).where("config <> ''").select(F.col("config").alias("component"), F.round(F.col("whole") - F.col("recall"), 6).alias("marginal"))
 
 
 def lane_recall(run: DataFrame, gold: DataFrame, k: int) -> DataFrame:

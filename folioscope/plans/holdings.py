@@ -157,8 +157,7 @@ def a11_formula_samples(spark, d):
 def a12_distribution(spark, d):
     """The seminars' shares of a concept's passages."""
     n = _passages(spark, d, "seminar_id", where=F.contains(F.lower("raw_text"), F.lit("fleuve"))).groupBy("seminar_id").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.join(total).select("seminar_id", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    return n.select("seminar_id", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share"))  # a row per seminar
 
 
 @query(f"SELECT language, count(*) AS n, count(DISTINCT session_id) AS sessions, count(DISTINCT seminar_id) AS seminars, count(DISTINCT coalesce(year_from // 10, -1)) AS periods FROM {ONCE} WHERE contains(lower(raw_text), 'lettre') GROUP BY 1")
@@ -405,9 +404,9 @@ def e6_top1(spark, d):
 def e7_leave_one_out(spark, d):
     """What each component adds to the recall of all together."""
     lists = lexical._components(spark, d)
-    names = table(spark, d, "spec").where(F.col("id").isin(*lexical.ENTITIES)).select(F.col("id").alias("query"), F.lower("fr").alias("fr")).distinct()
-    p = _passages(spark, d, F.lower("raw_text").alias("t"))
-    gold = p.join(names, F.contains("t", F.col("fr"))).select("query", F.col("id").alias("item")).distinct()
+    names = table(spark, d, "spec").where(F.col("id").isin(*lexical.ENTITIES)).select("id", F.lower("fr").alias("fr")).distinct().collect()  # of the few entities asked
+    held = F.array_compact(F.array(*(F.when(F.contains(F.lower("raw_text"), F.lit(r.fr)), F.lit(r.id)) for r in names)))
+    gold = _passages(spark, d, held.alias("held")).select(F.explode("held").alias("query"), F.col("id").alias("item")).distinct()
     return evaluation.leave_one_out(lists, gold, ["E", "L", "X"], 10)
 
 

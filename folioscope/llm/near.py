@@ -29,7 +29,7 @@ SHINGLE, SIMILARITY = 5, 0.6
 #: Signature coordinates, levels of the first descent and of each further one, most levels.
 COORDINATES, FIRST_LEVELS, MORE_LEVELS, MOST_LEVELS = 128, 3, 1, 8
 #: Coordinates that a node follows, times the least similarity: under 1 a run dies out more often, but the runs that the
-#: recall then needs write fewer paths together (23 a record after three levels, 37 with 1; 113 and 280 after six).
+#: recall then needs write fewer paths together (24 a record after three levels, 37 with 1; 139 and 321 after six).
 BRANCHING = 0.5
 #: Expected share of pairs at the least similarity that meet, at whatever level their buckets end.
 RECALL = 0.97

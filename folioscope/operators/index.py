@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.stages import stage
+from folioscope.functions.stages import drop_stage, stage
 from folioscope.operators.retrieval import K1, B
 
 _BUILT: dict[tuple, Index] = {}
@@ -38,11 +38,13 @@ def build(tokens: DataFrame) -> Index:
 
     Documents without words count for the sizes. A frequent term is spread over as many ranges as its postings need.
     """
-    sized = tokens.withColumn("dl", F.size("ws"))
+    sized = stage(tokens.withColumn("dl", F.size("ws")), "tokens")  # texts are taken apart once
     sizes = {r.part: (r.n, float(r.av or 1.0)) for r in sized.groupBy("part").agg(F.count("*").alias("n"), F.avg("dl").alias("av")).collect()}  # a row per language
     words = sized.select("part", "doc", "dl", F.posexplode("ws").alias("pos", "term"))
     postings = words.groupBy("part", "term", "doc", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(stage(postings.repartitionByRange("part", "term", "doc").sortWithinPartitions("part", "term", "doc"), "postings"), sizes)
+    built = stage(postings.repartitionByRange("part", "term", "doc").sortWithinPartitions("part", "term", "doc"), "postings")
+    drop_stage(sized)
+    return Index(built, sizes)
 
 
 def kept(name: str, source: DataFrame, tokens: DataFrame) -> Index:

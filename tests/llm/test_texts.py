@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -45,6 +46,18 @@ def test_confusables_of_unicode(spark):
     assert not {"’", "中", "ß", "œ", "é"} & set(found)
 
 
+def test_a_missing_table_of_confusables_is_no_result(spark, monkeypatch):
+    rows = texts(spark, [("a", LONG), ("b", LONG.replace("o", "\U0001d5c8"))])
+    for gone in (SimpleNamespace(), SimpleNamespace(_sc=None), SimpleNamespace(_sc=SimpleNamespace(_jvm=None)), SimpleNamespace(_sc=SimpleNamespace(_jvm=spark._jvm.no.such.place))):
+        with pytest.raises(RuntimeError, match="confusable"):
+            lookalike.confusables(gone, {"\u0430"})
+        assert lookalike.confusables(gone, {"a", " ", "\u4e2d"}) == []  # nothing to ask for
+    asked = lookalike.confusables
+    monkeypatch.setattr(lookalike, "confusables", lambda session, symbols: asked(SimpleNamespace(), symbols))
+    with pytest.raises(RuntimeError, match="confusable"):
+        lookalike.look_alike_pairs(rows, "id", "raw_text")
+
+
 def test_copies_of_one_form_are_not_compared(spark):
     rows = [(f"c{i}", LONG) for i in range(30)] + [("d", disguise(LONG)), ("e", LONG.replace("a", "а"))]
     got = {(r.id_a, r.id_b) for r in lookalike.look_alike_pairs(texts(spark, rows), "id", "raw_text").collect()}
